@@ -50,6 +50,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with the text of a null row empty; other columns go."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(doc_id, text) with the text of a null row empty.
+
+    With ``carry`` all other columns, and the id as it was, come along in one
+    struct column ``row``, so that no name can clash with an operator's own.
+    """
+    own = [F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
+    if carry:
+        own.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
+    return docs.select(*own)
+
+
+def ddl(df: DataFrame, *names: str) -> str:
+    """The DDL of some columns of a frame."""
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)

@@ -41,7 +41,12 @@ def load(model: str):
 
 
 def parts(text: str):
-    """Texts of bounded length whose encodings, in order, make up the text's."""
+    """Bounded parts whose chunks, in order, are the text's; none of an empty text.
+
+    A part leaves out the first marker of its first chunk.
+    """
+    if not text:
+        return
     text = text.replace(MARK, " ")
     at = 0
     while len(text) - at > PART_CHARS and (m := _word_end.search(text, at + PART_CHARS)):
@@ -51,9 +56,7 @@ def parts(text: str):
 
 
 def chunks(text: str) -> list[str]:
-    """The text's chunks, each without the first of its markers."""
-    if not text:
-        return []
+    """The chunks of a part, each without the first of its markers."""
     words = text.split(" ")
     return [c[1:] for c in _spaced.findall(" " + text)] if "" in words else words
 

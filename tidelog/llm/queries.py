@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, jaccard, pieces, urlfilter, warc
+from tidelog.llm import chat, decontaminate, jaccard, licenses, pieces, pii, quality, topk, urlfilter, warc
 from tidelog.llm.common import scratch, table
 
 
@@ -45,6 +45,45 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; counts and digest are of the pattern spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"), licenses.matches_text(F.col("matches")).alias("matches"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other rows of every vector whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on the labelled rows outside the held-out fold, score every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document contains."""
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.size("hits").cast("bigint").alias("n_items"),
+        F.array_join(F.col("hits.item_id").cast("array<string>"), ",").alias("item_ids"),
+        F.coalesce(F.array_max("hits.words"), F.lit(0)).cast("bigint").alias("most_words"),
+    )
+
+
 #: The rules of the contract, as host, path and action.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -85,6 +124,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_pii": op4_pii,
+        "op5_license_scan": op5_license_scan,
+        "op6_topk": op6_topk,
+        "op7_quality": op7_quality,
+        "op8_decontaminate": op8_decontaminate,
         "op9_url_filter": op9_url_filter,
         "op10_chat_format": op10_chat_format,
     }
@@ -120,6 +164,17 @@ FROM documents d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
 LEFT JOIN (SELECT a AS doc_id, count(*) AS links FROM links GROUP BY a) k USING (doc_id)
 """
 
+OP6_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 OP9_SQL = r"""
 WITH u AS (
     SELECT page_id,
@@ -159,4 +214,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op9_url_filter": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op6_topk": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -30,6 +30,8 @@ _lower[65:91] += 32
 BYTES = mix(_lower.astype(np.uint64) * np.uint64(_BASE) + np.uint64(1))
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Blank for word matching without punctuation: ASCII other than letters and digits.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _powers: list[np.ndarray] = []
 LANES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -60,15 +62,15 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, the byte where each starts, and each text's first word."""
     hashes, places, a, n = [], [], 0, len(data)
     while a < n:
         b = min(a + WINDOW, n)
         if b < n:
-            b = _word_end(data, offsets, a, b)
+            b = _word_end(data, offsets, a, b, blank)
         x = data[a:b]
-        ink = ~BLANK[x]
+        ink = ~blank[x]
         head, tail = ink.copy(), ink.copy()
         head[1:] &= ~ink[:-1]
         tail[:-1] &= ~ink[1:]
@@ -91,16 +93,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, at, np.searchsorted(at, offsets)
 
 
-def _word_end(data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> int:
+def _word_end(data: np.ndarray, offsets: np.ndarray, a: int, b: int, blank: np.ndarray) -> int:
     """The last place in (a, b] where no word is cut, or the first after b."""
-    blanks = np.flatnonzero(BLANK[data[a:b]])
+    blanks = np.flatnonzero(blank[data[a:b]])
     k = int(np.searchsorted(offsets, b, side="right")) - 1
     best = max(a + int(blanks[-1]) + 1 if len(blanks) else a, int(offsets[k]) if k >= 0 else a)
     if best > a:
         return best
     while b < len(data):
         step = data[b : b + WINDOW]
-        blanks = np.flatnonzero(BLANK[step])
+        blanks = np.flatnonzero(blank[step])
         stop = b + (int(blanks[0]) if len(blanks) else len(step))
         k = int(np.searchsorted(offsets, b))
         if k < len(offsets) and offsets[k] <= stop:
