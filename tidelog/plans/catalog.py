@@ -1,9 +1,539 @@
-"""Registered queries of the versioned key/value engine."""
+"""Registered queries of the versioned key/value engine, with their SQL.
 
+Every query reads one of two logs that the driver's tables make up: EV (events
+by user, ``error`` events are deletes) and ORD (orders by customer, status
+``P`` is a delete).  ORDK is the orders by their own key, which rises with the
+sequence number, so that its tables have disjoint key ranges.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidelog.functions import bloom, encoding
+from tidelog.operators import blocks, measure, ranges
+from tidelog.operators import resolve as R
+from tidelog.operators.ranges import Range
+from tidelog.plans import tiers
+from tidelog.sources import wal
+
+#: Versions of one flushed table, tables of a full tier.
+FLUSH, FANOUT = 1000, 4
+
+_registry: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        _registry[name or f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _registry.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in _registry.items() if s}
+
+
+def _read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    put = F.col("event_type") != "error"
+    return e.select(F.col("user_id").alias("key"), (F.col("event_id") + 1).alias("seq"), put.cast("int").alias("tag"), F.when(put, F.col("value")).alias("value"))
+
+
+def ord_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    put = F.col("o_orderstatus") != "P"
+    return o.select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") + 1).alias("seq"), put.cast("int").alias("tag"), F.when(put, F.col("o_totalprice")).alias("value"))
+
+
+def flushed(log: DataFrame) -> DataFrame:
+    return log.withColumn("flush_no", F.expr(f"(seq - 1) div {FLUSH} + 1"))
+
+
+def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EV's tables with the tier that cascading merges have brought each flush to."""
+    log = flushed(ev(spark, sf_dir))
+    meta = tiers.table_meta(R.resolve(log, "flush_no", "key"), "flush_no")
+    total = meta.agg(F.max("flush_no").alias("total"))
+    return tiers.tier_layout(meta.join(F.broadcast(total)), "total")
+
+
+def merged_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """META rows after the merges: flushes of one group have become one table."""
+    rows = layout(spark, sf_dir)
+    group = F.expr(f"ceil(flush_no / power({FANOUT}, tier))").cast("bigint")
+    merged = rows.groupBy("tier", group.alias("grp")).agg(F.max("flush_no").alias("id"), F.sum("num_entries").alias("num_entries"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+    pos = F.row_number().over(Window.partitionBy("tier").orderBy("id")) - 1
+    return merged.withColumn("pos", pos.cast("int")).drop("grp")
+
+
+EV = "WITH log AS (SELECT user_id AS key, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS tag, CASE WHEN event_type <> 'error' THEN value END AS value FROM events)"
+ORD = "WITH log AS (SELECT o_custkey AS key, o_orderkey + 1 AS seq, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS tag, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS value FROM orders)"
+NEW = ", newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
+FLUSHED = EV + f", fl AS (SELECT *, (seq - 1) // {FLUSH} + 1 AS flush_no FROM log), per AS (SELECT * FROM fl QUALIFY row_number() OVER (PARTITION BY flush_no, key ORDER BY seq DESC) = 1)"
+META = FLUSHED + ", meta AS (SELECT flush_no, count(*) AS num_entries, min(key) AS first_key, max(key) AS last_key FROM per GROUP BY flush_no)"
+LAYOUT = META + ", lay AS (SELECT *, CASE " + " ".join(f"WHEN ceil(flush_no / {4**t}.0) * {4**t} <= (SELECT max(flush_no) FROM meta) THEN {t}" for t in range(15, 0, -1)) + " ELSE 0 END AS tier FROM meta)"
+MERGED = LAYOUT + (
+    ", merged AS (SELECT tier, max(flush_no) AS id, sum(num_entries)::BIGINT AS num_entries, min(first_key) AS first_key, max(last_key) AS last_key FROM lay GROUP BY tier, ceil(flush_no / pow(4, tier)))"
+    ", m AS (SELECT *, (row_number() OVER (PARTITION BY tier ORDER BY id) - 1)::INT AS pos FROM merged)"
+)
+
+
+# --- resolution ---------------------------------------------------------------------
+
+
+@query(EV + NEW + " SELECT key, seq, value FROM newest WHERE tag = 1")
+def live_view(spark, sf_dir):
+    return R.live(ev(spark, sf_dir))
+
+
+@query(EV + NEW + " SELECT key, value FROM newest WHERE tag = 1")
+def scan_full(spark, sf_dir):
+    return R.live(ev(spark, sf_dir)).select("key", "value").orderBy("key")
+
+
+@query(ORD + NEW + " SELECT key, seq, value FROM newest WHERE tag = 1")
+def live_orders(spark, sf_dir):
+    return R.live(ord_(spark, sf_dir))
+
+
+@query(EV + NEW + " SELECT key, seq, tag, value FROM newest")
+def merge_raw(spark, sf_dir):
+    log = ev(spark, sf_dir)
+    return R.resolve(R.union(*[log.where(F.col("seq") % 4 == i) for i in range(4)]), source="source").drop("source")
+
+
+@query(EV + NEW + " SELECT key, seq, tag, value FROM newest")
+def merge_raw_window(spark, sf_dir):
+    log = ev(spark, sf_dir)
+    return R.resolve_window(R.union(*[log.where(F.col("seq") % 3 == i) for i in range(3)]), source="source").drop("source")
+
+
+@query(EV + NEW + " SELECT key, seq, value FROM newest WHERE tag = 1")
+def merge_live(spark, sf_dir):
+    log = ev(spark, sf_dir)
+    half = R.resolve(log.where("seq % 2 = 0")).unionByName(R.resolve(log.where("seq % 2 = 1")))
+    return R.live(half)
+
+
+@query(EV + NEW + " SELECT key, seq FROM newest WHERE tag = 0")
+def tombstones_only(spark, sf_dir):
+    return R.tombstones(ev(spark, sf_dir)).select("key", "seq")
+
+
+@query(EV + ", l2 AS (SELECT * FROM log WHERE seq <= 5000) SELECT key, seq, value FROM (SELECT * FROM l2 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE tag = 1")
+def as_of_seq(spark, sf_dir):
+    return R.live(R.as_of(ev(spark, sf_dir), 5000))
+
+
+@query(
+    EV + ", a AS (SELECT *, 0 AS source FROM log WHERE seq <= 6000), b AS (SELECT key, seq, tag, value + 1 AS value, 1 AS source FROM log WHERE seq > 4000)"
+    " SELECT key, seq, tag, value FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC, source) = 1"
+)
+def insert_if_newer(spark, sf_dir):
+    log = ev(spark, sf_dir)
+    return R.insert_if_newer(log.where("seq <= 6000"), log.where("seq > 4000").withColumn("value", F.col("value") + 1))
+
+
+@query(EV + " SELECT (seq % 3)::INT AS source, count(*) AS n, sum(tag)::BIGINT AS puts, min(seq) AS first_seq, max(seq) AS last_seq FROM log GROUP BY 1")
+def union_sources(spark, sf_dir):
+    log = ev(spark, sf_dir)
+    both = R.union(*[log.where(F.col("seq") % 3 == i) for i in range(3)])
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.sum("tag").alias("puts"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+@query(EV + " SELECT key, seq, tag, value FROM log")
+def log_ingest(spark, sf_dir):
+    return R.validate(ev(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + 99 AS seq FROM orders")
+def assign_seq(spark, sf_dir):
+    return R.assign_seq(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 100).select("o_orderkey", "seq")
+
+
+# --- lookups ------------------------------------------------------------------------
+
+
+@query(ORD + NEW + ", k AS (SELECT min(key) AS k FROM newest WHERE tag = 1) SELECT key, value FROM newest, k WHERE tag = 1 AND key = k")
+def point_get_hit(spark, sf_dir):
+    log = ord_(spark, sf_dir)
+    key = R.live(log).agg(F.min("key")).first()[0]
+    return R.live(ranges.scan(log, Range(key, key, True, True))).select("key", "value")
+
+
+@query(ORD + NEW + ", k AS (SELECT min(key) AS k FROM newest WHERE tag = 0) SELECT key, value FROM newest, k WHERE tag = 1 AND key = k")
+def point_get_deleted(spark, sf_dir):
+    log = ord_(spark, sf_dir)
+    key = R.tombstones(log).agg(F.min("key")).first()[0]
+    return R.live(ranges.scan(log, Range(key, key, True, True))).select("key", "value")
+
+
+@query(ORD + NEW + " SELECT key, value FROM newest WHERE tag = 1 AND key = -5")
+def point_get_absent(spark, sf_dir):
+    return R.live(ranges.scan(ord_(spark, sf_dir), Range(-5, -5, True, True))).select("key", "value")
+
+
+@query(ORD + NEW + " SELECT key, seq, tag, value FROM newest WHERE key IN (1, 2, 3, 4, 5)")
+def get_raw_version(spark, sf_dir):
+    return R.resolve(ord_(spark, sf_dir).where("key in (1, 2, 3, 4, 5)"))
+
+
+@query(ORD + NEW + " SELECT c_custkey, value FROM customer LEFT JOIN (SELECT * FROM newest WHERE tag = 1) ON key = c_custkey WHERE c_custkey % 7 = 0")
+def multi_get(spark, sf_dir):
+    keys = _read(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select("c_custkey")
+    log = ord_(spark, sf_dir)
+    found = R.live(log.join(keys.select(F.col("c_custkey").alias("key")), "key", "left_semi"))
+    return keys.join(found, F.col("c_custkey") == F.col("key"), "left").select("c_custkey", "value")
+
+
+@query("SELECT c.c_custkey, max(f.first_key) AS block_first FROM customer c LEFT JOIN (SELECT min(o_custkey) AS first_key FROM orders GROUP BY o_custkey // 100) f ON f.first_key <= c.c_custkey GROUP BY 1")
+def sparse_index_lookup(spark, sf_dir):
+    firsts = _read(spark, sf_dir, "orders").groupBy(F.expr("o_custkey div 100")).agg(F.min("o_custkey").alias("first_key")).select("first_key")
+    return ranges.last_at_most(_read(spark, sf_dir, "customer").select("c_custkey"), firsts, "c_custkey", "first_key", "block_first")
+
+
+# --- ranges -------------------------------------------------------------------------
+
+_RANGES = {
+    "incl_excl": (Range(20, 60), "key >= 20 AND key < 60"),
+    "incl_incl": (Range(20, 60, True, True), "key >= 20 AND key <= 60"),
+    "excl_incl": (Range(20, 60, False, True), "key > 20 AND key <= 60"),
+    "excl_excl": (Range(20, 60, False, False), "key > 20 AND key < 60"),
+    "from": (Range(lo=20), "key >= 20"),
+    "from_excl": (Range(lo=20, lo_incl=False), "key > 20"),
+    "to": (Range(hi=60), "key < 60"),
+    "to_incl": (Range(hi=60, hi_incl=True), "key <= 60"),
+    "unbounded": (Range(), "true"),
+    "crossed": (Range(60, 20), "false"),
+}
+for _name, (_range, _sql) in _RANGES.items():
+
+    @query(EV + NEW + f" SELECT key, seq, value FROM newest WHERE tag = 1 AND {_sql}", f"scan_range_{_name}")
+    def _scan(spark, sf_dir, r=_range):
+        return R.live(ranges.scan(ev(spark, sf_dir), r)).orderBy("key")
+
+
+@query(EV + NEW + " SELECT count(*) AS pairs FROM newest WHERE tag = 1 AND key >= 20 AND key < 60")
+def scan_count(spark, sf_dir):
+    return R.live(ranges.scan(ev(spark, sf_dir), Range(20, 60))).agg(F.count("*").alias("pairs"))
+
+
+@query(ORD + NEW + " SELECT key, value FROM newest WHERE tag = 1 ORDER BY key LIMIT 25")
+def scan_take_n(spark, sf_dir):
+    return R.live(ord_(spark, sf_dir)).select("key", "value").orderBy("key").limit(25)
+
+
+@query(EV + NEW + " SELECT count(*) AS violations FROM (SELECT key, lag(key) OVER (ORDER BY key) AS before FROM newest WHERE tag = 1) WHERE before >= key")
+def scan_strictly_ascending(spark, sf_dir):
+    return measure.order_violations(R.live(ev(spark, sf_dir)), "key")
+
+
+@query(
+    ORD + NEW + ", r AS (SELECT c_custkey AS range_id, c_custkey AS lo, c_custkey + 15 AS hi FROM customer WHERE c_custkey % 10 = 0)"
+    " SELECT range_id, count(key) AS pairs, coalesce(min(key), -1) AS first_key FROM r LEFT JOIN (SELECT * FROM newest WHERE tag = 1) ON key >= lo AND key < hi GROUP BY range_id HAVING count(key) > 0"
+)
+def multi_range_scan(spark, sf_dir):
+    windows = _read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").selectExpr("c_custkey range_id", "c_custkey lo", "c_custkey + 15 hi")
+    found = ranges.multi_range(R.live(ord_(spark, sf_dir)), windows, 15)
+    return found.groupBy("range_id").agg(F.count("*").alias("pairs"), F.min("key").alias("first_key"))
+
+
+# --- accounting ----------------------------------------------------------------------
+
+
+@query(FLUSHED + " SELECT flush_no, sum(8 + CASE WHEN tag = 1 THEN 8 ELSE 0 END + 32)::BIGINT AS bytes, count(*) AS keys FROM per GROUP BY flush_no")
+def memtable_bytes(spark, sf_dir):
+    rows = R.resolve(flushed(ev(spark, sf_dir)), "flush_no", "key")
+    return rows.groupBy("flush_no").agg(F.sum(encoding.memtable_length(F.lit(8), F.col("tag"), F.lit(8))).alias("bytes"), F.count("*").alias("keys"))
+
+
+@query(EV + " SELECT count(DISTINCT key) AS keys FROM log")
+def key_count(spark, sf_dir):
+    return ev(spark, sf_dir).agg(F.countDistinct("key").alias("keys"))
+
+
+@query(EV + " SELECT greatest(1, max(seq) + 1) AS next_seq FROM log")
+def next_seq(spark, sf_dir):
+    return ev(spark, sf_dir).agg(F.greatest(F.lit(1), F.max("seq") + 1).alias("next_seq"))
+
+
+_TEXT = "SELECT conv_id, turn, 16 AS k, CASE WHEN turn % 5 = 4 THEN 0 ELSE 1 END AS tag, octet_length(encode(text)) AS v FROM conversations"
+
+
+def _conv(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, 0).otherwise(1).alias("tag"), F.octet_length("text").alias("v"))
+
+
+@query(f"SELECT conv_id, sum(4 + k + 9 + CASE WHEN tag = 1 THEN 4 + v ELSE 0 END)::BIGINT AS bytes FROM ({_TEXT}) GROUP BY conv_id")
+def entry_len(spark, sf_dir):
+    return _conv(spark, sf_dir).groupBy("conv_id").agg(F.sum(encoding.entry_length(F.lit(16), F.col("tag"), F.col("v"))).alias("bytes"))
+
+
+@query(f"SELECT conv_id, sum(8 + 13 + k + CASE WHEN tag = 1 THEN 4 + v ELSE 0 END)::BIGINT AS bytes FROM ({_TEXT}) GROUP BY conv_id")
+def wal_bytes(spark, sf_dir):
+    return _conv(spark, sf_dir).groupBy("conv_id").agg(F.sum(encoding.wal_length(F.lit(16), F.col("tag"), F.col("v"))).alias("bytes"))
+
+
+# --- tables and tiers -----------------------------------------------------------------
+
+
+@query(META + " SELECT * FROM meta")
+def table_meta(spark, sf_dir):
+    return tiers.table_meta(R.resolve(flushed(ev(spark, sf_dir)), "flush_no", "key"), "flush_no")
+
+
+@query(LAYOUT + " SELECT flush_no, tier FROM lay")
+def tier_layout(spark, sf_dir):
+    return layout(spark, sf_dir).select("flush_no", "tier")
+
+
+@query(MERGED + " SELECT tier, count(*) AS tables FROM m GROUP BY tier")
+def tier_sizes(spark, sf_dir):
+    return tiers.tier_sizes(merged_layout(spark, sf_dir))
+
+
+@query(MERGED + " SELECT id, tier, pos, row_number() OVER (ORDER BY tier, pos DESC)::INT AS age_rank FROM m")
+def tables_newest_first(spark, sf_dir):
+    return tiers.newest_first(merged_layout(spark, sf_dir)).select("id", "tier", "pos", "age_rank")
+
+
+@query(META + " SELECT CASE WHEN count(*) >= 4 THEN 0 END AS tier FROM meta")
+def compaction_candidate(spark, sf_dir):
+    meta = table_meta(spark, sf_dir).withColumn("tier", F.lit(0))
+    return tiers.candidate(meta, FANOUT)
+
+
+@query(MERGED + " SELECT DISTINCT tier, tier >= (SELECT max(tier) FROM m) AS is_bottom FROM m")
+def output_is_bottom(spark, sf_dir):
+    return tiers.output_is_bottom(merged_layout(spark, sf_dir))
+
+
+@query(FLUSHED + " SELECT key, seq, tag, value FROM per WHERE flush_no BETWEEN 5 AND 8 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
+def compact_keep_tombstones(spark, sf_dir):
+    tables = R.resolve(flushed(ev(spark, sf_dir)).where("flush_no between 5 and 8"), "flush_no", "key").drop("flush_no")
+    return R.resolve(tables)
+
+
+@query(FLUSHED + ", n AS (SELECT * FROM per WHERE flush_no <= 4 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, seq, tag, value FROM n WHERE tag = 1")
+def compact_drop_tombstones(spark, sf_dir):
+    tables = R.resolve(flushed(ev(spark, sf_dir)).where("flush_no <= 4"), "flush_no", "key").drop("flush_no")
+    return R.resolve(tables).where(R.is_put())
+
+
+_ORDK = f"SELECT o_orderkey // {FLUSH} + 1 AS id, count(*) AS num_entries, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1"
+
+
+@query(f"SELECT * FROM ({_ORDK}) WHERE last_key >= 500 AND first_key < 2500")
+def table_prune(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select(F.expr(f"o_orderkey div {FLUSH} + 1").alias("id"), F.col("o_orderkey").alias("key"))
+    return tiers.prune(tiers.table_meta(o), Range(500, 2500))
+
+
+@query(MERGED + " SELECT flush_no AS id FROM meta WHERE flush_no NOT IN (SELECT id FROM m)")
+def gc_orphans(spark, sf_dir):
+    files = table_meta(spark, sf_dir).select(F.col("flush_no").alias("id"))
+    return tiers.orphans(files, merged_layout(spark, sf_dir))
+
+
+@query(META + " SELECT flush_no AS id, lpad(flush_no::VARCHAR, 20, '0') || '.sst' AS file_name, flush_no AS parsed FROM meta")
+def file_names(spark, sf_dir):
+    named = table_meta(spark, sf_dir).select(F.col("flush_no").alias("id"), encoding.file_name(F.col("flush_no")).alias("file_name"))
+    return named.withColumn("parsed", encoding.file_number(F.col("file_name")))
+
+
+@query(FLUSHED + " SELECT key, seq, value FROM (SELECT * FROM per WHERE flush_no <= 6 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE tag = 1")
+def snapshot_read(spark, sf_dir):
+    """Reads a pinned snapshot of a table that has been written to since."""
+    import uuid
+
+    from tidelog.functions.session import shared_dir
+    from tidelog.plans.table import KvTable, Options
+
+    root = f"{shared_dir(spark).rstrip('/')}/snapshot-read-{uuid.uuid4().hex}"
+    table = KvTable(spark, root, "bigint", "double", Options(bloom=False, fanout=FANOUT))
+    log = ev(spark, sf_dir)
+    table.append(log.where(f"seq <= {6 * FLUSH}"))
+    table.flush()
+    pinned = KvTable(spark, root, "bigint", "double")
+    table.append(log.where(f"seq > {6 * FLUSH}"))
+    table.flush()
+    return R.live(pinned.log()).select("key", "seq", "value")
+
+
+# --- blocks, bloom filters -------------------------------------------------------------
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT o_orderkey AS k, 25 + 4 + o_orderkey % 97 AS len, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey < 1000),"
+    " f AS (SELECT i, k, len, len AS used, 0 AS block FROM e WHERE i = 1 UNION ALL"
+    " SELECT e.i, e.k, e.len, CASE WHEN f.used + e.len > 4096 THEN e.len ELSE f.used + e.len END, CASE WHEN f.used + e.len > 4096 THEN f.block + 1 ELSE f.block END FROM f JOIN e ON e.i = f.i + 1)"
+    " SELECT block::BIGINT AS block, count(*) AS entries, min(k) AS first_key, sum(len)::BIGINT AS bytes FROM f GROUP BY block"
+)
+def block_layout(spark, sf_dir):
+    """Greedy packing of the first table's entries into blocks of 4 KiB."""
+    rows = _read(spark, sf_dir, "orders").where("o_orderkey < 1000").selectExpr("0 table_id", "o_orderkey key", "29 + o_orderkey % 97 len")
+    return blocks.pack(rows, "table_id", "key", "len").select("block", "entries", "first_key", "bytes")
+
+
+@query(META + ", b AS (SELECT flush_no, num_entries AS n, ceil(greatest(64, num_entries * 10) / 8.0) * 8 AS bits FROM meta) SELECT flush_no, bits::BIGINT AS bits, least(30, greatest(1, floor(bits / n * ln(2) + 0.5)))::BIGINT AS probes FROM b")
+def bloom_sizing(spark, sf_dir):
+    bits, probes = bloom.size_columns(F.col("num_entries"))
+    return table_meta(spark, sf_dir).select("flush_no", bits.alias("bits"), probes.alias("probes"))
+
+
+def _bloom(spark, sf_dir):
+    members = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    bits, k = bloom.size(members.count())
+    return members, bits, k
+
+
+@query("SELECT count(*) AS members, 0::BIGINT AS missed FROM (SELECT DISTINCT o_custkey FROM orders)")
+def bloom_membership(spark, sf_dir):
+    """No member may be missed."""
+    members, bits, k = _bloom(spark, sf_dir)
+    asked = bloom.may_contain(members, "key", bloom.build(members, "key", bits, k), bits, k)
+    return asked.agg(F.count("*").alias("members"), F.sum((~F.col("maybe")).cast("bigint")).alias("missed"))
+
+
+@query("SELECT 20000::BIGINT AS trials, true AS in_bound")
+def bloom_fpr(spark, sf_dir):
+    """The share of false positives stays below twice the theory plus half a percent."""
+    members, bits, k = _bloom(spark, sf_dir)
+    strangers = spark.range(20_000).select((-1 - F.col("id")).alias("key"))
+    asked = bloom.may_contain(strangers, "key", bloom.build(members, "key", bits, k), bits, k)
+    bound = 2 * bloom.theory(members.count(), bits, k) + 0.005
+    return asked.agg(F.count("*").alias("trials"), (F.avg(F.col("maybe").cast("int")) < bound).alias("in_bound"))
+
+
+# --- log segments -----------------------------------------------------------------------
+
+
+@query()
+def frame_crc(spark, sf_dir):
+    """Every event as a framed log record; SQL has no CRC-32."""
+    e = ev(spark, sf_dir)
+    value = F.when(F.col("tag") == 1, encoding.little_endian((F.col("value") * 100).cast("bigint"), 8))
+    framed = encoding.frame(encoding.record(F.col("seq"), F.col("tag"), encoding.big_endian_key(F.col("key")), value))
+    return e.select("seq", F.hex(framed).alias("frame"))
+
+
+def _segments(spark, sf_dir, damaged: int | None = None):
+    """EV's log in segments of FLUSH frames, one byte of one frame flipped."""
+    e = ev(spark, sf_dir).where("seq <= 8000")
+    value = F.when(F.col("tag") == 1, F.encode(F.col("value").cast("string"), "utf-8"))
+    framed = encoding.frame(encoding.record(F.col("seq"), F.col("tag"), encoding.big_endian_key(F.col("key")), value))
+    if damaged:
+        framed = F.when(F.col("seq") == damaged, F.concat(F.substr(framed, F.lit(1), F.octet_length(framed) - 1), F.unhex(F.lit("FF")))).otherwise(framed)
+    rows = e.select(F.expr(f"(seq - 1) div {FLUSH}").alias("segment_id"), "seq", F.hex(framed).alias("f"))
+    parts = rows.groupBy("segment_id").agg(F.sort_array(F.collect_list(F.struct("seq", "f"))).alias("rows"))
+    return parts.select("segment_id", F.unhex(F.array_join("rows.f", "")).alias("content"))
+
+
+@query(EV + " SELECT key, seq, tag, value FROM log WHERE seq <= least(8000, 4321)")
+def wal_valid_prefix(spark, sf_dir):
+    """Decode and replay a log whose 4322nd frame is damaged."""
+    rows = wal.records(wal.valid_prefix(wal.decode_frames(_segments(spark, sf_dir, 4322))))
+    return rows.select(F.conv(F.hex("key"), 16, 10).cast("bigint").alias("key"), "seq", F.col("tag").cast("int").alias("tag"), F.decode("value", "utf-8").cast("double").alias("value"))
+
+
+@query(EV + ", l AS (SELECT * FROM log WHERE seq <= 8000), h AS (SELECT max(seq) AS n FROM l) SELECT least(n, 4321)::BIGINT AS records, (least(n, 4322) - 1) // 1000 AS tail_segment, CASE WHEN n >= 4322 THEN 'BadCrc' ELSE 'Clean' END AS stop_reason FROM h")
+def wal_recovery_report(spark, sf_dir):
+    return wal.recovery_report(wal.decode_frames(_segments(spark, sf_dir, 4322))).select("records", "tail_segment", "stop_reason")
+
+
+# --- measurement -------------------------------------------------------------------------
+
+_Q = (0.0, 0.5, 0.9, 0.99, 1.0)
+
+
+@query("SELECT event_type, " + ", ".join(f"quantile_disc(value, {q}) AS p{int(q * 100)}" for q in _Q) + " FROM events GROUP BY event_type")
+def latency_quantiles(spark, sf_dir):
+    return measure.quantiles(_read(spark, sf_dir, "events"), "value", _Q, "event_type")
+
+
+@query("SELECT event_type, min(v) AS min_ns, max(v) AS max_ns, coalesce(sum(v) // count(*), 0)::BIGINT AS mean_ns FROM (SELECT event_type, floor(value * 1000)::BIGINT AS v FROM events) GROUP BY event_type")
+def latency_summary(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_type", F.floor(F.col("value") * 1000).alias("v"))
+    return measure.summary(rows, "v", "event_type")
+
+
+@query("SELECT event_type, count(*) AS ops, CASE WHEN secs <= 0 THEN 0.0 ELSE count(*) / secs END AS per_s FROM events, (SELECT date_diff('second', min(ts), max(ts))::DOUBLE AS secs FROM events) GROUP BY event_type, secs")
+def throughput(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    secs = e.agg(F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).cast("double").alias("secs"))
+    return measure.throughput(e.join(F.broadcast(secs)), "secs", "event_type")
+
+
+@query("SELECT c_custkey AS i, upper(lpad(to_hex(c_custkey), 32, '0')) AS key_hex FROM customer")
+def gen_keys(spark, sf_dir):
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.hex(encoding.bench_key(F.col("c_custkey"))).alias("key_hex"))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT least(c_custkey // greatest(n // 7, 1), 6) AS worker, count(*) AS keys FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS c_custkey FROM customer), n GROUP BY 1")
+def work_partition(spark, sf_dir):
+    numbered = R.assign_seq(_read(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 0).select(F.col("seq").alias("i"))
+    return measure.work_partition(numbered, "i", 7).groupBy("worker").agg(F.count("*").alias("keys"))
+
+
+# --- streaming ----------------------------------------------------------------------------
+
+
+def _streamed(spark, sf_dir, run):
+    """Run a stream over the events table to its end and return what it left."""
+    import uuid
+
+    from tidelog.functions.session import shared_dir
+
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(source).schema
+    single = source.rpartition("/")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", single[2] if not _is_dir(spark, source) else "*.parquet").parquet(single[0] if not _is_dir(spark, source) else source)
+    return run(stream, base)
+
+
+def _is_dir(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+@query(EV + NEW + " SELECT key, seq, tag, value FROM newest")
+def stream_newest(spark, sf_dir):
+    """Newest-wins state of a stream, in complete mode."""
+    from tidelog.streaming import ingest
+
+    def run(stream, base):
+        name = f"newest_{base[-8:]}"
+        q = ingest.newest(ingest.as_log(stream)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name)
+
+    return _streamed(spark, sf_dir, run)
+
+
+@query(EV + NEW + " SELECT key, value FROM newest WHERE tag = 1")
+def stream_into_table(spark, sf_dir):
+    """Micro-batches committed to a table, then a scan of it."""
+    from tidelog.plans.table import KvTable, Options
+    from tidelog.streaming import ingest
+
+    def run(stream, base):
+        table = KvTable(spark, f"{base}/table", "bigint", "double", Options(bloom=False))
+        ingest.into_table(ingest.as_log(stream), table, f"{base}/cp", availableNow=True).awaitTermination()
+        return table.refresh().scan(ordered=False)
+
+    return _streamed(spark, sf_dir, run)
