@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.operators import resolve as R
 from tidelog.operators.ranges import Range, multi_range
 from tidelog.plans import table as table_module
-from tidelog.plans.table import CommitConflictError, CorruptSnapshotError, KvTable, Options
+from tidelog.plans.table import CommitConflictError, CorruptSnapshotError, Durability, KvTable, Options
 from tidelog.plans.tiers import TableMeta, Version
 
 SMALL = Options(fanout=4, bloom=False, partitions=2)
@@ -188,7 +188,7 @@ def test_bulk_writes_are_numbered(spark, tmp_path):
 
 
 def test_bulk_mode_publishes_at_flush(spark, tmp_path):
-    t = KvTable(spark, str(tmp_path / "t"), "bigint", "bigint", Options(publish_each_batch=False, bloom=False))
+    t = KvTable(spark, str(tmp_path / "t"), "bigint", "bigint", Options(durability=Durability.BUFFERED, bloom=False))
     t.put(1, 10)
     t.put(1, 11)
     assert t.get(1) == 11 and KvTable(spark, str(tmp_path / "t"), "bigint", "bigint").get(1) is None
@@ -196,6 +196,18 @@ def test_bulk_mode_publishes_at_flush(spark, tmp_path):
     assert KvTable(spark, str(tmp_path / "t"), "bigint", "bigint").get(1) == 11
 
 
+def test_group_commit(spark, tmp_path):
+    t = KvTable(spark, str(tmp_path / "t"), "bigint", "bigint", Options(durability=Durability.parse("group-commit"), group_batches=3, bloom=False))
+    for i in range(4):
+        t.put(i, i)
+    assert len(t.snapshots()) == 1 and KvTable(spark, str(tmp_path / "t"), "bigint", "bigint").scan().count() == 3
+    t.commit()
+    assert len(t.snapshots()) == 2 and KvTable(spark, str(tmp_path / "t"), "bigint", "bigint").version.next_seq == 5
+    assert Durability.parse("os") is Durability.BUFFERED and not Durability.BUFFERED.is_durable and Durability.parse("always").is_durable
+    with pytest.raises(ValueError):
+        Durability.parse("never")
+
+
 def test_a_deleted_key_does_not_come_back(spark, tmp_path):
     """The destination of a merge holds the live version that the delete hides."""
     t = KvTable(spark, str(tmp_path / "t"), "bigint", "bigint", Options(fanout=2, bloom=False))

@@ -49,7 +49,7 @@ def may_contain(rows: DataFrame, key: str, bloom: DataFrame, bits: int, k: int,
     asked = asked.withColumn("bucket", F.bitmap_bucket_number("_at")).withColumn("_bit", F.bitmap_bit_position("_at"))
     found = asked.join(bloom, "bucket", "left")
     byte = F.conv(F.hex(F.substring("bitmap", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("0") + F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")), F.lit(0)) > 0
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")), F.lit(0)) > 0
     return found.groupBy("_row", *rows.columns).agg(F.min(hit.cast("int")).alias("_all")).select(*rows.columns, (F.col("_all") == 1).alias(out))
 
 

@@ -32,7 +32,6 @@ def throughput(ops: DataFrame, secs: str, *by: str) -> DataFrame:
 def work_partition(rows: DataFrame, i: str, workers: int) -> DataFrame:
     """Equal chunks of numbered rows; the last worker takes the remainder."""
     total = rows.agg(F.count("*").alias("_n"))
-    base = F.greatest(F.expr(f"_n div {workers}"), F.lit(1))
     return rows.join(F.broadcast(total)).withColumn("worker", F.least(F.expr(f"`{i}` div greatest(_n div {workers}, 1)"), F.lit(workers - 1)).cast("bigint")).drop("_n")
 
 

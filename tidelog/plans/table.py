@@ -15,9 +15,11 @@ means that the snapshot is visible, nothing less and nothing more.
 from __future__ import annotations
 
 import base64
+import enum
 import json
 import time
 import uuid
+import zlib
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,18 +43,39 @@ class CommitConflictError(TableError):
     """Another writer has published the next snapshot first."""
 
 
+class Durability(enum.Enum):
+    """When appended batches are published: each alone, in groups, or at flush."""
+
+    ALWAYS = "always"
+    GROUP_COMMIT = "group"
+    BUFFERED = "buffered"
+
+    @property
+    def is_durable(self) -> bool:
+        """Whether a batch is published once its append, or the commit of its group, returns."""
+        return self is not Durability.BUFFERED
+
+    @classmethod
+    def parse(cls, name: str) -> Durability:
+        """A mode by its name or one of the usual other names."""
+        aliases = {"groupcommit": "group", "group-commit": "group", "os": "buffered", "osbuffered": "buffered"}
+        return cls(aliases.get(name, name))
+
+
 @dataclass(frozen=True)
 class Options:
     """Policy of a table.
 
-    ``publish_each_batch``: every append is visible at once (otherwise after
-    flush).  ``flush_bytes``: accounted bytes of pending batches after which
-    an append flushes.  ``fanout``: tables of a tier before it is merged.
-    ``bloom``: write Parquet bloom filters for the key.  ``partitions``: range
-    partitions of a table file, None for the session's shuffle setting.
+    ``durability``: see Durability.  ``group_batches``: appends of a group
+    before it is committed; commit() ends a group early.  ``flush_bytes``:
+    accounted bytes of pending batches after which a commit flushes.
+    ``fanout``: tables of a tier before it is merged.  ``bloom``: write
+    Parquet bloom filters for the key.  ``partitions``: range partitions of a
+    table file, None for the session's shuffle setting.
     """
 
-    publish_each_batch: bool = True
+    durability: Durability = Durability.ALWAYS
+    group_batches: int = 8
     flush_bytes: int = 256 << 20
     fanout: int = 4
     bloom: bool = True
@@ -171,10 +194,22 @@ class KvTable:
     def _append(self, log: DataFrame) -> None:
         path = f"log/{uuid.uuid4().hex}"
         log.select(*self.schema.names).write.parquet(f"{self.root}/{path}")
-        if not self.options.publish_each_batch:
-            self._unpublished.append(path)
+        self._unpublished.append(path)
+        mode = self.options.durability
+        if mode is Durability.ALWAYS or (mode is Durability.GROUP_COMMIT and len(self._unpublished) >= self.options.group_batches):
+            try:
+                self.commit()
+            except CommitConflictError:
+                self._unpublished.remove(path)  # the caller appends again after refresh()
+                raise
+
+    def commit(self) -> None:
+        """Publish the appended batches that no snapshot has yet, all in one."""
+        if not self._unpublished:
             return
-        self._publish(Version(self.version.tiers, self._high_water(self._read_log([path]), self.version.next_seq), self.version.next_table_id, (*self.version.pending, path)))
+        new = tuple(self._unpublished)
+        self._publish(Version(self.version.tiers, self._high_water(self._read_log(new), self.version.next_seq), self.version.next_table_id, (*self.version.pending, *new)))
+        self._unpublished.clear()
         if self.pending_bytes() >= self.options.flush_bytes:
             self.flush()
 
@@ -297,6 +332,4 @@ def _meets(r: Range, t: TableMeta) -> bool:
 
 
 def _crc(state: dict) -> int:
-    import zlib
-
     return zlib.crc32(json.dumps(state, sort_keys=True).encode())
