@@ -82,7 +82,9 @@ def test_tiles_lose_no_link(spark, monkeypatch):
     assert sorted((tuple(r) for r in jaccard_join(df, 4, 85).collect()), key=str) == brute(rows, 4, 85)
 
 
-def test_divide_skip_counts():
+@pytest.mark.parametrize("heap", [0, 10**9])
+def test_divide_skip_counts(monkeypatch, heap):
+    monkeypatch.setattr("tidelog.llm.jaccard.HEAP_POSTINGS", heap)
     rng = np.random.default_rng(3)
     for percent in (40, 70, 90):
         sets = [np.unique(rng.integers(0, 60, size=rng.integers(1, 40))) for _ in range(80)]
