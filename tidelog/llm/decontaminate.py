@@ -29,7 +29,7 @@ LEAST_EQUAL, SUBSTITUTION = 75, 3
 #: many words an item is no evidence and matches nothing.
 SHORTEST_ITEM = 5
 #: Words of the items that are broadcast at once.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 BITMAP_BITS = 23
 
 
