@@ -208,6 +208,13 @@ def test_group_commit(spark, tmp_path):
         Durability.parse("never")
 
 
+def test_large_pending_batches_are_flushed(spark, tmp_path):
+    t = KvTable(spark, str(tmp_path / "t"), "bigint", "bigint", Options(flush_bytes=1, fanout=9, bloom=False))
+    for i in range(3):
+        t.put(i, i)
+    assert t.describe().count() == 3 and t.version.pending == () and t.pending_bytes() == 0
+
+
 def test_a_deleted_key_does_not_come_back(spark, tmp_path):
     """The destination of a merge holds the live version that the delete hides."""
     t = KvTable(spark, str(tmp_path / "t"), "bigint", "bigint", Options(fanout=2, bloom=False))
@@ -252,6 +259,25 @@ def test_table_pruning_uses_key_ranges(spark, tmp_path):
     assert t.get(125) == 125
 
 
+def test_disjoint_tables_are_not_resolved(spark, tmp_path):
+    t = KvTable(spark, str(tmp_path / "t"), "bigint", "bigint", Options(fanout=9, bloom=False))
+    for lo in (0, 100, 150):
+        t.append(spark.range(lo, lo + 100).selectExpr("id key", f"id + {lo} * 10 + 1 seq", "if(id % 7 = 0, 0, 1) tag", f"if(id % 7 = 0, null, id + {lo}) value"))
+        t.flush()
+    alone, rest = table_module._split_overlapping(t.version.newest_first())
+    assert [m.first_key for m in alone] == [0] and sorted(m.first_key for m in rest) == [100, 150]
+    want = {k: k + (150 if k >= 150 else 100 if k >= 100 else 0) for k in range(250) if k % 7}
+    assert {r.key: r.value for r in t.scan().collect()} == want
+    plan = t.scan(0, 60, ordered=False)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and t.scan(0, 60).count() == sum(k < 60 for k in want)
+    keys = spark.range(0, 300, 3).withColumnRenamed("id", "key")
+    assert {r.key: r.value for r in t.multi_get(keys).collect()} == {k: want.get(k) for k in range(0, 300, 3)}
+    t.merge_tier(0)
+    assert {r.key: r.value for r in t.multi_get(keys).collect()} == {k: want.get(k) for k in range(0, 300, 3)} and t.get(7) is None and t.get(151) == 301
+    t.delete(151)
+    assert t.get(151) is None and t.scan().count() == len(want) - 1
+
+
 def test_versions():
     meta = lambda i: TableMeta(i, f"p{i}", 1, 0, 9)
     v = Version()

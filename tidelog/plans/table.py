@@ -68,7 +68,7 @@ class Options:
 
     ``durability``: see Durability.  ``group_batches``: appends of a group
     before it is committed; commit() ends a group early.  ``flush_bytes``:
-    accounted bytes of pending batches after which a commit flushes.
+    stored bytes of pending batches from which a commit flushes.
     ``fanout``: tables of a tier before it is merged.  ``bloom``: write
     Parquet bloom filters for the key.  ``partitions``: range partitions of a
     table file, None for the session's shuffle setting.
@@ -210,9 +210,13 @@ class KvTable:
         new = tuple(self._unpublished)
         self._publish(Version(self.version.tiers, self._high_water(self._read_log(new), self.version.next_seq), self.version.next_table_id, (*self.version.pending, *new)))
         self._unpublished.clear()
-        if self.pending_bytes() >= self.options.flush_bytes:
+        if self._stored_bytes(self.version.pending) >= self.options.flush_bytes:
             self.flush()
 
+    def _stored_bytes(self, paths) -> int:
+        """Bytes of some batches on disk, from file metadata only."""
+        return sum(self._fs.getContentSummary(self._path(f"{self.root}/{p}")).getLength() for p in paths)
+
     def pending_bytes(self) -> int:
         """Accounted bytes of the pending batches, each key once."""
         paths = [*self.version.pending, *self._unpublished]
@@ -278,19 +282,45 @@ class KvTable:
         tables = [t for t in self.version.newest_first() if _meets(r, t)]
         return self._read_log([t.path for t in tables] + list(self.version.pending) + self._unpublished).where(r.contains())
 
+    def resolved(self, r: Range | None = None) -> DataFrame:
+        """The newest version of every key of a range, deletes included.
+
+        A table holds one version of a key.  Without pending batches, tables
+        whose key ranges meet no other table's are read as they are, and only
+        the rest goes through the shuffle of a resolution.
+        """
+        r = r or Range()
+        tables = [t for t in self.version.newest_first() if _meets(r, t)]
+        if self.version.pending or self._unpublished:
+            return R.resolve(self.log(r))
+        alone, rest = _split_overlapping(tables)
+        if not rest:
+            return self._read_tables(alone).where(r.contains())
+        out = R.resolve(self._read_tables(rest).where(r.contains())).select(*self.schema.names)
+        return out.unionByName(self._read_tables(alone).where(r.contains())) if alone else out
+
     def scan(self, lo=None, hi=None, lo_incl: bool = True, hi_incl: bool = False, ordered: bool = True) -> DataFrame:
         """Live (key, value) pairs of a range, ascending by key; crossed bounds give none."""
-        rows = R.live(self.log(Range(lo, hi, lo_incl, hi_incl))).select("key", "value")
+        rows = R.hide_deletes(self.resolved(Range(lo, hi, lo_incl, hi_incl))).select("key", "value")
         return rows.orderBy("key") if ordered else rows
 
     def get(self, key):
         """The value of a key, or None if it is absent or deleted."""
-        row = R.live(self.log(Range(key, key, True, True))).first()
+        row = R.hide_deletes(self.resolved(Range(key, key, True, True))).first()
         return row["value"] if row else None
 
     def multi_get(self, keys: DataFrame, key: str = "key") -> DataFrame:
-        """Every row of ``keys`` with the key's value, null where absent or deleted."""
-        found = R.live(self.log()).select(F.col("key").alias("_k"), "value")
+        """Every row of ``keys`` with the key's value, null where absent or deleted.
+
+        Catalyst pushes nothing of a join below the resolution, so versions of
+        other keys go before it by a semi-join: a broadcast if the keys are
+        few, else the shuffle that the resolution needs anyway.
+        """
+        if self.version.pending or self._unpublished or _split_overlapping(self.version.newest_first())[1]:
+            found = R.live(self.log().join(keys.select(F.col(key).alias("key")), "key", "left_semi"))
+        else:
+            found = R.hide_deletes(self.resolved())
+        found = found.select(F.col("key").alias("_k"), "value")
         return keys.join(found, keys[key] == found["_k"], "left").drop("_k")
 
     def as_of(self, seq: int) -> DataFrame:
@@ -331,5 +361,20 @@ def _meets(r: Range, t: TableMeta) -> bool:
     return low and high
 
 
+def _split_overlapping(tables: list[TableMeta]) -> tuple[list[TableMeta], list[TableMeta]]:
+    """Tables whose key ranges meet no other's, and the rest."""
+    order = sorted(tables, key=lambda t: t.first_key)
+    clusters: list[list[TableMeta]] = []
+    last = None
+    for t in order:
+        if clusters and t.first_key <= last:
+            clusters[-1].append(t)
+            last = max(last, t.last_key)
+        else:
+            clusters.append([t])
+            last = t.last_key
+    return [c[0] for c in clusters if len(c) == 1], [t for c in clusters if len(c) > 1 for t in c]
+
+
 def _crc(state: dict) -> int:
     return zlib.crc32(json.dumps(state, sort_keys=True).encode())
