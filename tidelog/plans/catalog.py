@@ -164,6 +164,13 @@ def assign_seq(spark, sf_dir):
     return R.assign_seq(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 100).select("o_orderkey", "seq")
 
 
+@query("SELECT o_custkey AS key, o_orderkey, o_totalprice AS value FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def last_writer_wins(spark, sf_dir):
+    """Unconditional upserts: the last row in order of arrival wins."""
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.struct("o_orderdate", "o_orderkey").alias("arrival"), "o_orderkey", F.col("o_totalprice").alias("value"))
+    return R.resolve(rows, seq="arrival").drop("arrival")
+
+
 # --- lookups ------------------------------------------------------------------------
 
 
@@ -311,6 +318,17 @@ def tables_newest_first(spark, sf_dir):
     return tiers.newest_first(merged_layout(spark, sf_dir)).select("id", "tier", "pos", "age_rank")
 
 
+@query(MERGED + " SELECT DISTINCT id FROM m")
+def referenced_ids(spark, sf_dir):
+    return merged_layout(spark, sf_dir).select("id").distinct()
+
+
+@query(MERGED + " SELECT tier, sum(num_entries)::BIGINT AS expected_keys FROM m GROUP BY tier")
+def merge_expected_keys(spark, sf_dir):
+    """An upper bound of the keys of each tier's merge."""
+    return merged_layout(spark, sf_dir).groupBy("tier").agg(F.sum("num_entries").alias("expected_keys"))
+
+
 @query(META + " SELECT CASE WHEN count(*) >= 4 THEN 0 END AS tier FROM meta")
 def compaction_candidate(spark, sf_dir):
     meta = table_meta(spark, sf_dir).withColumn("tier", F.lit(0))
@@ -389,6 +407,19 @@ def block_layout(spark, sf_dir):
     return blocks.pack(rows, "table_id", "key", "len").select("table_id", "block", "entries", "first_key", "bytes")
 
 
+@query(
+    f"WITH RECURSIVE e AS (SELECT o_orderkey // {FLUSH} AS t, o_orderkey AS k, 40 + CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 8 END AS len, row_number() OVER (PARTITION BY o_orderkey // {FLUSH} ORDER BY o_orderkey) AS i FROM orders),"
+    " f AS (SELECT t, i, k, len, len AS used, 0 AS batch FROM e WHERE i = 1 UNION ALL"
+    " SELECT e.t, e.i, e.k, e.len, CASE WHEN f.used >= 4096 THEN e.len ELSE f.used + e.len END, CASE WHEN f.used >= 4096 THEN f.batch + 1 ELSE f.batch END FROM f JOIN e ON e.t = f.t AND e.i = f.i + 1)"
+    " SELECT t AS table_id, batch::BIGINT AS batch, count(*) AS entries, max(k) AS last_key, sum(len)::BIGINT AS bytes FROM f GROUP BY t, batch"
+)
+def freeze_points(spark, sf_dir):
+    """Where a memtable of 4 KiB would be frozen while each table's entries come in."""
+    size = encoding.memtable_length(F.lit(8), (F.col("o_orderstatus") != "P").cast("int"), F.lit(8))
+    rows = _read(spark, sf_dir, "orders").select(F.expr(f"o_orderkey div {FLUSH}").alias("table_id"), F.col("o_orderkey").alias("key"), size.alias("len"))
+    return blocks.pack(rows, "table_id", "key", "len", after=True).select("table_id", F.col("block").alias("batch"), "entries", "last_key", "bytes")
+
+
 @query(META + ", b AS (SELECT flush_no, num_entries AS n, ceil(greatest(64, num_entries * 10) / 8.0) * 8 AS bits FROM meta) SELECT flush_no, bits::BIGINT AS bits, least(30, greatest(1, floor(bits / n * ln(2) + 0.5)))::BIGINT AS probes FROM b")
 def bloom_sizing(spark, sf_dir):
     bits, probes = bloom.size_columns(F.col("num_entries"))
