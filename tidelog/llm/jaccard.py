@@ -207,6 +207,7 @@ def divide_skip(sets: list[np.ndarray], rule: Rule, side: np.ndarray | None = No
 def _search(rule: Rule):
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
+        table = table.take(pa.array(np.sort(np.unique(table.column("node").to_numpy(), return_index=True)[1])))
         node = table.column("node").to_numpy()
         copies = table.column("copies").to_numpy()
         tile = table.column("tile").to_numpy()
@@ -246,18 +247,20 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     counts = postings.repartitionByRange("gram", "node").sortWithinPartitions("gram", "node").mapInArrow(_shared_counts, "node bigint, c bigint").groupBy("node").agg(F.sum("c").alias("c"))
     rest = nodes.join(counts, "node").where(f"c >= {rule.sql_floor_shared('n')}").select("node", "n", "copies", "rep")
     sets = docs.withColumnRenamed("doc_id", "rep").join(rest, "rep").select("node", "n", "copies", "text")
-    sets = cut(sets.mapInArrow(_sets(rule), "node bigint, n bigint, copies bigint, grams array<bigint>").dropDuplicates(["node"]))
+    # Rows that repeat both id and text repeat a node here; what follows takes each node once.
+    sets = cut(sets.mapInArrow(_sets(rule), "node bigint, n bigint, copies bigint, grams array<bigint>"))
 
     post = sets.select("node", F.explode("grams").alias("gram"))
     often = post.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    rare = post.join(often, "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("common"))
-    rare = rare.join(sets.select("node", "n"), "node").withColumn("want", F.expr(f"n - {rule.sql_least('n')} + 1 - (n - size(common))").cast("int"))
+    rare = post.join(often, "gram").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("common"))
+    rare = rare.join(sets.select("node", "n").distinct(), "node").withColumn("want", F.expr(f"n - {rule.sql_least('n')} + 1 - (n - size(common))").cast("int"))
     lists = rare.where("want > 0").select("node", F.explode(F.expr("slice(common, 1, want).gram")).alias("gram"))
     heads = lists.groupBy("gram").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
     near = lists.join(heads.select("gram", "head"), "gram").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     blocks = components(near).withColumnRenamed("root", "block")
 
     members = sets.join(blocks, "node")
+    # A repeated node only makes its tiles smaller.
     tiles = members.groupBy("block").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("tiles"))
     cells = (
         members.join(tiles, "block")
