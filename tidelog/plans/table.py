@@ -154,6 +154,8 @@ class KvTable:
     def append(self, log: DataFrame) -> None:
         """Append log rows (key, seq, tag, value) with sequence numbers of their own.
 
+        Rows may come late, but not so late that a merge has dropped a newer
+        delete of their key: merges into the oldest tier forget deletes.
         Invalid rows fail the append before anything is published.
         """
         self._append(R.validate(log.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])))
