@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidelog.llm import textkernel as tk
 from tidelog.llm.jaccard import Rule, divide_skip, jaccard_join
