@@ -161,10 +161,13 @@ def fit_rules(stats: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int
             kept.append((path, held))
     if not kept:
         return Rules(prior)
-    x = np.stack([held for _, held in kept], axis=1).astype(np.float64)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    x = (x - mean) / scale
-    w, b = _lasso(x, y, penalty, prior)
+    x = np.empty((n, len(kept)), dtype=np.float32)
+    for j, (_, held) in enumerate(kept):
+        x[:, j] = held
+    mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64)
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
+    w, b = _lasso(x, y.astype(np.float32), penalty, prior)
     w = w / scale
     return Rules(float(b - w @ mean), [(path, float(v)) for (path, _), v in zip(kept, w, strict=True) if v])
 
@@ -172,21 +175,22 @@ def fit_rules(stats: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int
 def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, bias: float, rounds: int = 400) -> tuple[np.ndarray, float]:
     """FISTA for the L1 penalised mean log loss; the bias is free."""
     n, m = x.shape
-    v = rng_unit = np.ones(m) / np.sqrt(m)
+    unit = np.ones(m, x.dtype) / np.sqrt(m).astype(x.dtype)
     for _ in range(20):  # the largest eigenvalue of x'x / n
-        v = x.T @ (x @ rng_unit) / n
-        rng_unit = v / np.linalg.norm(v)
-    step = 4 / (np.linalg.norm(v) * 1.05 + 1)
-    w = at = np.zeros(m)
+        v = x.T @ (x @ unit) / n
+        unit = v / np.linalg.norm(v)
+    step = float(4 / (np.linalg.norm(v) * 1.05 + 1))
+    w = at = np.zeros(m, x.dtype)
     b = b_at = bias
     t = 1.0
     for _ in range(rounds):
         r = 1 / (1 + np.exp(-(x @ at + b_at))) - y
         new = at - step * (x.T @ r) / n
-        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
-        b_new = b_at - step * r.mean()
+        new = np.sign(new) * np.maximum(np.abs(new) - x.dtype.type(step * penalty), 0)
+        b_new = b_at - step * float(r.mean())
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        at, b_at = new + (t - 1) / t_new * (new - w), b_new + (t - 1) / t_new * (b_new - b)
+        pull = float((t - 1) / t_new)
+        at, b_at = new + pull * (new - w), b_new + pull * (b_new - b)
         w, b, t = new, b_new, t_new
     return w, float(b)
 
