@@ -61,9 +61,20 @@ class Items:
         self.seeds = self.seeds[order]
         self.item = np.concatenate([np.zeros(0, np.int64), *item])[order]
         self.place = np.concatenate([np.zeros(0, np.int64), *place])[order]
+        self._mark()
+
+    def _mark(self):
         self.bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
         self.bitmap[self.seeds >> np.uint64(64 - BITMAP_BITS)] = True
 
+    def __getstate__(self):
+        """Without the bitmap, which every task makes anew from the seeds."""
+        return {k: v for k, v in self.__dict__.items() if k != "bitmap"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._mark()
+
     def hits(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in seeds, item, place in the item) of every equal seed."""
         at = np.flatnonzero(self.bitmap[seeds >> np.uint64(64 - BITMAP_BITS)])
