@@ -134,6 +134,41 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.find(spark.createDataFrame([], df.schema), bench).collect() == []
 
 
+def longest_equal(text, item):
+    """Equal words of the best stretch on any diagonal, by trying all; 0 if none."""
+    best = 0
+    for start in range(1 - len(item), len(text)):
+        lo, hi = max(0, -start), min(len(item), len(text) - start)
+        same = [text[start + i] == item[i] for i in range(lo, hi)]
+        for a in range(len(same)):
+            for b in range(a + min(12, len(item)), len(same) + 1):
+                if 4 * sum(same[a:b]) >= 3 * (b - a):
+                    best = max(best, sum(same[a:b]))
+    return best
+
+
+def test_stretch_against_all_segments():
+    rng = np.random.default_rng(7)
+    item = np.arange(1, 31, dtype=np.uint64)
+    for n in (15, 26, 30):
+        for edits in range(10):
+            text = item[30 - n :].copy()
+            text[rng.permutation(n)[:edits]] = 0
+            assert decontaminate.verified(text, item, n - 30) == longest_equal(text.tolist(), item.tolist())
+
+
+def test_edited_passages_of_longer_items(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    item = [word() for _ in range(40)]
+    one = [*item[:3], word(), *item[4:15]]
+    gap = [*item[5:16], *[word() for _ in range(4)], *item[20:31]]
+    texts = [[word() for _ in range(6)] + p + [word() for _ in range(6)] for p in (one, gap, item[:8])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [h.words for h in r.hits] for r in decontaminate.find(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {i: [n] if (n := longest_equal(t, item)) else [] for i, t in enumerate(texts)} and [bool(got[i]) for i in range(3)] == [True, True, False]
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 

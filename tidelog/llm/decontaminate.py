@@ -3,8 +3,8 @@
 A seed hashes the words of a window at the positions that a fixed mask keeps,
 so words at the ignored positions may differ.  Seeds of the training texts
 meet those of the test items in a hash join inside each task, behind a small
-bitmap; every hit is then verified on its diagonal: the best gapless stretch
-of the item must be long enough and mostly equal.
+bitmap; every hit is then verified on its diagonal: the longest gapless stretch
+of the item that is mostly equal must be long enough.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ from tidelog.llm.common import bounded_batches, ddl, texts
 MASKS = ("1101101101", "1110010111", "1011110011", "1100111101")
 #: A stretch must have so many words (or the whole of a shorter item) ...
 LEAST_WORDS = 12
-#: ... of which at least this percentage is equal; a substitution costs as
-#: much as this many equal words gain when a stretch is extended.
-LEAST_EQUAL, SUBSTITUTION = 75, 3
+#: ... of which at least this percentage is equal.
+LEAST_EQUAL = 75
 #: Items with fewer words than a mask need all their words equal; below this
 #: many words an item is no evidence and matches nothing.
 SHORTEST_ITEM = 5
@@ -103,11 +102,15 @@ def short_seeds(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """The best gapless stretch: (equal words, start, end)."""
-    gain = np.r_[0, np.cumsum(np.where(equal, 1, -SUBSTITUTION))]
-    low = np.minimum.accumulate(gain)
-    b = int(np.argmax(gain - low))
-    a = int(np.flatnonzero(gain[: b + 1] == low[b])[-1])
+    """The longest stretch of which LEAST_EQUAL percent are equal: (equal words, start, end).
+
+    No other such stretch has more equal words, as all can be extended until
+    the percentage is used up.
+    """
+    gain = np.r_[0, np.cumsum(np.where(equal, 100, 0) - LEAST_EQUAL)]
+    first = np.searchsorted(-np.minimum.accumulate(gain), -gain)  # the earliest start for every end
+    b = int(np.argmax(np.arange(len(gain)) - first))
+    a = int(first[b])
     return int(equal[a:b].sum()), a, b
 
 
@@ -117,13 +120,10 @@ def verified(text: np.ndarray, item: np.ndarray, start: int) -> int:
     if hi <= lo:
         return 0
     equal = text[start + lo : start + hi] == item[lo:hi]
-    whole = int(equal.sum())
-    if hi - lo == len(item) and 100 * whole >= LEAST_EQUAL * len(item):
-        return whole if len(item) >= len(MASKS[0]) or whole == len(item) else 0
     if len(item) < len(MASKS[0]):
-        return 0
+        return len(item) if hi - lo == len(item) and equal.all() else 0
     n, a, b = stretch(equal)
-    return n if b - a >= min(LEAST_WORDS, len(item)) and 100 * n >= LEAST_EQUAL * (b - a) else 0
+    return n if b - a >= min(LEAST_WORDS, len(item)) else 0
 
 
 def _word_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
