@@ -1,5 +1,6 @@
 """Chat formatting, URL filters, top-k search, licenses, decontamination, quality."""
 
+import itertools
 import random
 
 import numpy as np
@@ -169,6 +170,30 @@ def test_edited_passages_of_longer_items(spark):
     assert got == {i: [n] if (n := longest_equal(t, item)) else [] for i, t in enumerate(texts)} and [bool(got[i]) for i in range(3)] == [True, True, False]
 
 
+def test_masks_miss_no_admitted_edit():
+    for n, edits in ((10, 2), (12, 3), (16, 4), (20, 5)):
+        fits = [{i + j for j, c in enumerate(m) if c == "1"} for m in decontaminate.MASKS for i in range(n - len(m) + 1)]
+        assert all(any(f.isdisjoint(gone) for f in fits) for gone in itertools.combinations(range(n), edits))
+
+
+def test_every_edit_within_the_rule_is_found(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS_AT_ONCE", 5, raising=False)
+    monkeypatch.setattr(decontaminate, "WORDS_AT_ONCE", 50, raising=False)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items, texts = [], []
+    for n, places in [(10, (0,)), (10, (9,)), (10, (3, 6)), (11, (3, 7)), (12, (3, 6, 9)), (16, (3, 7, 11, 15)), (60, range(3, 60, 4)), (12, (0, 4, 8, 11))] + [(n, rng.sample(range(n), n // 4)) for n in range(10, 25)]:
+        item = [word() for _ in range(n)]
+        items += [item, [word() for _ in range(9)] + [word() if i % 4 == 3 else w for i, w in enumerate(item)] + [word()]]
+        texts.append([word() for _ in range(4)] + [word() if i in places else w for i, w in enumerate(item)] + [word() for _ in range(4)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: {h.item_id: h.words for h in r.hits} for r in decontaminate.find(docs, bench).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == {j: n for j, w in enumerate(items) if (n := longest_equal(t, w))}
+    assert [2 * i in got[i] for i in range(8)] == [True] * 7 + [False]
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 

@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed hashes the words of a window at the positions that a fixed mask keeps,
-so words at the ignored positions may differ.  Seeds of the training texts
-meet those of the test items in a hash join inside each task, behind a small
-bitmap; every hit is then verified on its diagonal: the longest gapless stretch
-of the item that is mostly equal must be long enough.
+so words at the ignored positions may differ.  The masks together miss nothing
+that the rule admits.  Seeds of the training texts meet those of the test items
+in a hash join inside each task, behind a small bitmap; the words of every
+diagonal that is hit are counted, and on those with enough equal ones the
+longest gapless stretch of the item that is mostly equal must be long enough.
 """
 
 from __future__ import annotations
@@ -18,15 +19,21 @@ from pyspark.sql import functions as F
 from tidelog.llm import textkernel as tk
 from tidelog.llm.common import bounded_batches, ddl, texts
 
-#: Windows of ten words of which seven count.
-MASKS = ("1101101101", "1110010111", "1011110011", "1100111101")
+#: One of these fits between the replaced words of every stretch of ten words
+#: with two replaced, 12 with three, 16 with four and 20 with five (tried one by
+#: one in the tests).  Every stretch of 12 words or more with a quarter replaced
+#: holds such a stretch: one half of it does from 24 words on.
+MASKS = ("1101011", "1100010011", "11111", "1011001001")
 #: A stretch must have so many words (or the whole of a shorter item) ...
 LEAST_WORDS = 12
 #: ... of which at least this percentage is equal.
 LEAST_EQUAL = 75
-#: Items with fewer words than a mask need all their words equal; below this
-#: many words an item is no evidence and matches nothing.
+#: Items with fewer words than this need all their words equal ...
+EDITED_ITEM = 10
+#: ... and with fewer than this are no evidence and match nothing.
 SHORTEST_ITEM = 5
+#: Seed hits, and words of their diagonals, that are worked on at once.
+HITS_AT_ONCE, WORDS_AT_ONCE = 1 << 19, 1 << 21
 #: Words of the items that are broadcast at once.
 BLOCK_WORDS = 250_000
 BITMAP_BITS = 23
@@ -41,20 +48,16 @@ class Items:
 
     def __post_init__(self):
         seeds, item, place = [], [], []
-        span = len(MASKS[0])
         for i, w in enumerate(self.words):
-            if len(w) < span:
-                if len(w) >= SHORTEST_ITEM:
-                    seeds.append(short_seeds(w, len(w)))
-                    item.append(np.full(1, i))
-                    place.append(np.zeros(1, np.int64))
-                continue
-            for m in range(len(MASKS)):
-                s = masked(w, m)
-                seeds.append(s)
-                item.append(np.full(len(s), i))
-                place.append(np.arange(len(s)))
-        self.lengths = sorted({len(w) for w in self.words if SHORTEST_ITEM <= len(w) < span})
+            if len(w) >= SHORTEST_ITEM:
+                for s in [masked(w, m) for m in range(len(MASKS))] if len(w) >= EDITED_ITEM else [short_seeds(w, len(w))]:
+                    seeds.append(s)
+                    item.append(np.full(len(s), i))
+                    place.append(np.arange(len(s)))
+        self.lengths = sorted({len(w) for w in self.words if SHORTEST_ITEM <= len(w) < EDITED_ITEM})
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
         self.seeds = np.concatenate([np.zeros(0, np.uint64), *seeds])
         order = np.argsort(self.seeds, kind="stable")
         self.seeds = self.seeds[order]
@@ -74,14 +77,15 @@ class Items:
         self.__dict__.update(state)
         self._mark()
 
-    def hits(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in seeds, item, place in the item) of every equal seed."""
+    def hits(self, seeds: np.ndarray):
+        """(position in seeds, item, place in the item) of every equal seed, in blocks."""
         at = np.flatnonzero(self.bitmap[seeds >> np.uint64(64 - BITMAP_BITS)])
         lo, hi = np.searchsorted(self.seeds, seeds[at], "left"), np.searchsorted(self.seeds, seeds[at], "right")
         n = hi - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[pick], self.place[pick]
+        for a, b in blocks(n, HITS_AT_ONCE):
+            pick = ragged_range(lo[a:b], n[a:b])
+            yield np.repeat(at[a:b], n[a:b]), self.item[pick], self.place[pick]
 
 
 def masked(h: np.ndarray, m: int) -> np.ndarray:
@@ -101,6 +105,20 @@ def short_seeds(h: np.ndarray, k: int) -> np.ndarray:
     return tk.mix(tk.grams(h, k) + tk.LANES[40 + k]) if len(h) >= k else np.zeros(0, np.uint64)
 
 
+def blocks(sizes: np.ndarray, most: int):
+    """Bounds of runs of sizes that hold ``most`` together, or a single larger one."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def ragged_range(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of every range, one after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def stretch(equal: np.ndarray) -> tuple[int, int, int]:
     """The longest stretch of which LEAST_EQUAL percent are equal: (equal words, start, end).
 
@@ -120,7 +138,7 @@ def verified(text: np.ndarray, item: np.ndarray, start: int) -> int:
     if hi <= lo:
         return 0
     equal = text[start + lo : start + hi] == item[lo:hi]
-    if len(item) < len(MASKS[0]):
+    if len(item) < EDITED_ITEM:
         return len(item) if hi - lo == len(item) and equal.all() else 0
     n, a, b = stretch(equal)
     return n if b - a >= min(LEAST_WORDS, len(item)) else 0
@@ -131,26 +149,35 @@ def _word_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, first
 
 
+def _likely(items: Items, h: np.ndarray, first: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether the whole diagonal has as many equal words as verified() asks for at least."""
+    lo, hi = np.maximum(0, -start), np.minimum(items.sizes[item], first[doc + 1] - first[doc] - start)
+    n = hi - lo
+    enough = np.zeros(len(doc), np.int64)
+    for a, b in blocks(n, WORDS_AT_ONCE):
+        text = ragged_range((first[doc] + start + lo)[a:b], n[a:b])
+        equal = h[text] == items.flat[ragged_range((items.first[item] + lo)[a:b], n[a:b])]
+        enough[a:b] = np.add.reduceat(equal.astype(np.int64), np.cumsum(n[a:b]) - n[a:b])
+    return 100 * enough >= LEAST_EQUAL * np.minimum(LEAST_WORDS, items.sizes[item])
+
+
 def _scan(sent):
     def run(batches):
         items = sent.value
         for batch in batches:
             h, first = _word_lists(batch.column("text"))
-            hits = [(items.hits(masked(h, m)), len(MASKS[m])) for m in range(len(MASKS))]
-            hits += [(items.hits(short_seeds(h, k)), k) for k in items.lengths]
-            at = np.concatenate([x[0] for x, _ in hits])
-            item = np.concatenate([x[1] for x, _ in hits])
-            place = np.concatenate([x[2] for x, _ in hits])
-            span = np.concatenate([np.full(len(x[0]), k) for x, k in hits])
-            doc = np.searchsorted(first, at, "right") - 1
-            inside = at + span <= first[doc + 1]
-            start = at - first[doc] - place
-            tried = np.unique(np.stack([doc, item, start], axis=1)[inside], axis=0)
             best: dict[tuple[int, int], int] = {}
-            for d, i, s in tried.tolist():
-                n = verified(h[first[d] : first[d + 1]], items.words[i], s)
-                if n:
-                    best[d, i] = max(n, best.get((d, i), 0))
+            for m, k in [*enumerate(map(len, MASKS)), *((None, k) for k in items.lengths)]:
+                for at, item, place in items.hits(short_seeds(h, k) if m is None else masked(h, m)):
+                    doc = np.searchsorted(first, at, "right") - 1
+                    inside = at + k <= first[doc + 1]
+                    start = at - first[doc] - place
+                    tried = np.unique(np.stack([doc, item, start], axis=1)[inside], axis=0)
+                    tried = tried[_likely(items, h, first, *tried.T)]
+                    for d, i, s in tried.tolist():
+                        n = verified(h[first[d] : first[d + 1]], items.words[i], s)
+                        if n:
+                            best[d, i] = max(n, best.get((d, i), 0))
             found: dict[int, list[tuple[int, int]]] = {}
             for (d, i), n in best.items():
                 found.setdefault(d, []).append((items.ids[i], n))
