@@ -72,5 +72,26 @@ def test_added_spans_and_clean_text(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_values_side_by_side():
+    model = pii.fit(pii.labelled_table())
+    for kind, values in [
+        (3, ["555-123-4567", "555-987-6543"]), (3, ["(743) 555-3824", "(212) 555-1234", "(305) 555-7788"]), (3, ["555-123-4567", "+1 (743) 555-3824"]),
+        (2, ["4381893557741609", "4381893557741609"]), (2, ["4381 8935 5774 1609"] * 2), (0, ["bob1@host", "ann2@host"]),
+    ]:
+        for gap in " \t":
+            text = f"see {gap.join(values)} end"
+            found = pii.all_spans([text], model)[0]
+            assert [(k, text[a:b]) for k, a, b, _ in found] == [(kind, v) for v in values], text
+    mixed = "id 17 555-123-4567 4381893557741609 2024-05-06 x"
+    assert [(k, mixed[a:b]) for k, a, b, _ in pii.all_spans([mixed], model)[0]] == [(2, "4381893557741609"), (3, "555-123-4567")]
+
+
+def test_merged_values_are_split_at_word_borders():
+    text = "(743) 555-3824 (212) 555-1234"
+    model = pii.Crf({}, np.zeros((1, 9)), np.zeros((9, 9)))
+    model.emissions = lambda rows: np.eye(9)[[3] + [8] * (len(rows) - 1)]  # one phone of all words
+    assert pii.all_spans([text], model) == [[(3, 0, 14, False), (3, 15, 29, False)]]
+
+
 def test_redact_joins_overlaps():
     assert pii.redact("abcdefgh", [(1, 4, "phone"), (3, 6, "card"), (6, 7, "ip")]) == "a<PHONE><IP>h"

@@ -4,13 +4,16 @@ The patterns give the base spans.  The CRF reads the words that hold a digit
 or an at sign; every other word is outside by definition, which cuts a text
 into short independent chains.  It is trained from a small labelled table
 (made by rules below, or the caller's), and decoded by Viterbi in numpy for
-all chains of a batch at once.  Its spans are added where no base span lies.
+all chains of a batch at once.  Labels tell the first word of a value from its
+others, so values may stand side by side.  Its spans are added where no base
+span lies.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -22,7 +25,11 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import bounded_batches, ddl, texts
 
 KINDS = ("email", "ip", "card", "phone")
+#: Labels: a kind for the first word of a value, OUTSIDE, and INSIDE + kind for
+#: its other words, so that label % INSIDE is the kind or OUTSIDE.
 OUTSIDE = len(KINDS)
+INSIDE = OUTSIDE + 1
+LABELS = INSIDE + len(KINDS)
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 # The patterns of the contract.  The look-behinds only spare
@@ -119,7 +126,7 @@ def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
         d = sum("0" <= c <= "9" for c in w)
         rows.append([
             "1", f"s={s}", f"n={min(d, 20)}", f"len={min(len(w), 24)}", f"abc={any(c.isalpha() for c in w)}", f"at={'@' in w}", f"dots={min(w.count('.'), 4)}", f"dash={min(w.count('-'), 4)}",
-            f"open={w[:1] in '(+'}", f"p={shapes[i - 1] if i else '^'}", f"f={shapes[i + 1] if i + 1 < len(run) else '$'}", f"cue={cue if i == 0 else ''}", f"cue2={cue2 if i + 1 == len(run) else ''}", f"run={min(len(run), 6)}",
+            f"open={w[:1] in '(+'}", f"p={shapes[i - 1] if i else '^'}", f"ps={shapes[i - 1] if i else '^'}|{s}", f"f={shapes[i + 1] if i + 1 < len(run) else '$'}", f"cue={cue if i == 0 else ''}", f"cue2={cue2 if i + 1 == len(run) else ''}", f"run={min(len(run), 6)}",
         ])
     return rows
 
@@ -174,6 +181,7 @@ def labelled_table(rows: int = 900, seed: int = 11) -> list[tuple[str, list[int]
 
     Made by rules: personal data in usual notations after usual words, and
     numbers that are none (years, prices, versions, hashes, counts, dates).
+    A part of the chains has several values, of one notation, of one kind or of any.
     """
     rng = random.Random(seed)
     n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
@@ -192,16 +200,27 @@ def labelled_table(rows: int = 900, seed: int = 11) -> list[tuple[str, list[int]
     out = []
     for _ in range(rows):
         kind, cues, makers = rng.choice(kinds)
-        value = rng.choice(makers)()
-        text = f"{word()} {rng.choice(cues) if rng.random() < 0.6 else word()} {value}{rng.choice(['', '', '.', ','])} {word()}"
+        values = [(kind, make := rng.choice(makers))]
+        if rng.random() < 0.4:
+            alike = rng.choice(["notation", "kind", "any"])
+            for _ in range(rng.randint(1, 5)):
+                k, _, m = (kind, None, makers) if alike != "any" else rng.choice(kinds)
+                values.append((k, make if alike == "notation" else rng.choice(m)))
+        text, gold = f"{word()} {rng.choice(cues) if rng.random() < 0.6 else word()}", []
+        for k, make in values:
+            value = make()
+            text += f" {value}{rng.choice(['', '', '.', ','])}"
+            gold += [k] + [k if k == OUTSIDE else INSIDE + k] * value.count(" ")
+        text += f" {word()}"
         for run in chains(text):
-            out.append((text, [kind] * len(run)))
+            if len(run) == len(gold):
+                out.append((text, gold))
     return out
 
 
 def fit(table: list[tuple[str, list[int]]], rounds: int = 120, l2: float = 2e-4) -> Crf:
     """Maximum likelihood by AdaGrad; each text of the table has one chain."""
-    labels = OUTSIDE + 1
+    labels = LABELS
     index = {"": 0}
     rows = []
     for text, gold in table:
@@ -247,35 +266,89 @@ def _plausible(kind: int, s: str) -> bool:
     d = _digits(s)
     if kind == 0:
         left, _, right = s.partition("@")
-        return bool(left) and bool(right) and right[0].isalnum()
+        return bool(left) and bool(right) and right[0].isalnum() and len(s.split()) == 1
     if kind == 1:
         return bool(re.fullmatch(r"\d+(\.\d+){3}", s)) and all(int(p) <= 255 for p in s.split(".") if len(p) < 4)
     if kind == 2:
         return 13 <= len(d) <= 19 and luhn(d) and not any(c.isalpha() for c in s)
-    return 8 <= len(d) <= 15 and not any(c.isalpha() for c in s)
+    return 8 <= len(d) <= 15 and "+" not in s[1:] and not any(c.isalpha() for c in s)
+
+
+def _trim(text: str, a: int, b: int) -> tuple[int, int]:
+    raw = text[a:b]
+    return a + len(raw) - len(raw.lstrip(_EDGE_L)), b - len(raw) + len(raw.rstrip(_EDGE_R))
+
+
+def _values(text: str, run: list[tuple[int, int]], kind: int, begins: list[bool], fits) -> list[tuple[int, int]]:
+    """The spans of the values among adjacent words of one kind.
+
+    Where the model's own borders leave a part that does not fit, the parts
+    that do and cover most words are taken: of these, those that keep most of
+    its borders, then those of the most even lengths.
+    """
+    starts = [0, *(i for i in range(1, len(run)) if begins[i]), len(run)]
+    spans = [_trim(text, run[i][0], run[j - 1][1]) for i, j in zip(starts, starts[1:], strict=False)]
+    if len(run) == 1 or all(fits(kind, *s) for s in spans):
+        return [s for s in spans if fits(kind, *s)]
+    digits = [len(_digits(text[a:b])) for a, b in run]
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]
+    last: list[tuple[int, tuple[int, int] | None]] = [(0, None)]
+    for j in range(1, len(run) + 1):
+        top, step, d = best[j - 1], (j - 1, None), 0
+        for i in range(j - 1, max(-1, j - 1 - (1 if kind < 2 else 19)), -1):
+            d += digits[i]
+            if kind >= 2 and d > 19:
+                break
+            span = _trim(text, run[i][0], run[j - 1][1])
+            score = (best[i][0] + j - i, best[i][1] + (1 if begins[i] or not i else -1), best[i][2] - d * d)
+            if score > top and fits(kind, *span):
+                top, step = score, (i, span)
+        best.append(top)
+        last.append(step)
+    out, j = [], len(run)
+    while j:
+        j, span = last[j]
+        if span:
+            out.append(span)
+    return out[::-1]
+
+
+def _apart(spans: list[tuple[int, int, int, bool]]):
+    """Whether a place meets none of some spans, as a function."""
+    starts, ends = [], []
+    for a, b in sorted(s[1:3] for s in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
+
+    def apart(a: int, b: int) -> bool:
+        i = bisect_right(ends, a)
+        return i == len(ends) or b <= starts[i]
+
+    return apart
 
 
 def all_spans(text_list: list[str], model: Crf) -> list[list[tuple[int, int, int, bool]]]:
     """For each text (kind, start, end, base), by kind, then start."""
     out = [[(*s, True) for s in base_spans(t)] for t in text_list]
     where, runs, scores = [], [], []
+    apart = {}
 
     def decode():
         for i, run, labels in zip(where, runs, model.viterbi(scores), strict=True):
-            text, base = text_list[i], out[i]
+            text = text_list[i]
+            if i not in apart:
+                apart[i] = _apart(out[i])
+            fits = lambda kind, a, b, free=apart[i], text=text: a < b and free(a, b) and _plausible(kind, text[a:b])
             k = 0
-            for kind, group in groupby(labels.tolist()):
+            for kind, group in groupby((labels % INSIDE).tolist()):
                 m = k + sum(1 for _ in group)
-                a, b = run[k][0], run[m - 1][1]
+                if kind != OUTSIDE:
+                    begins = (labels[k:m] < INSIDE).tolist()
+                    out[i] += [(kind, a, b, False) for a, b in _values(text, run[k:m], kind, begins, fits)]
                 k = m
-                if kind == OUTSIDE:
-                    continue
-                raw = text[a:b]
-                a += len(raw) - len(raw.lstrip(_EDGE_L))
-                b -= len(raw) - len(raw.rstrip(_EDGE_R))
-                if a < b and _plausible(kind, text[a:b]) and not any(s[1] < b and a < s[2] for s in base):
-                    base.append((kind, a, b, False))
-        where.clear(), runs.clear(), scores.clear()
+        where.clear(), runs.clear(), scores.clear(), apart.clear()
 
     words = 0
     for i, text in enumerate(text_list):
