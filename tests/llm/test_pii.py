@@ -93,5 +93,14 @@ def test_merged_values_are_split_at_word_borders():
     assert pii.all_spans([text], model) == [[(3, 0, 14, False), (3, 15, 29, False)]]
 
 
+def test_long_chains_are_decoded_whole():
+    model = pii.fit(pii.labelled_table())
+    for n in range(508, 514):
+        text = "12 " * n + "(743) 555-3824 " + "12 " * 600 + "x"
+        assert [(k, text[a:b]) for k, a, b, _ in pii.all_spans([text], model)[0]] == [(3, "(743) 555-3824")], n
+    run = next(pii.chains(text))
+    assert [r for a in range(0, len(run), 7) for r in pii.features(text, run, a, a + 7)] == pii.features(text, run)
+
+
 def test_redact_joins_overlaps():
     assert pii.redact("abcdefgh", [(1, 4, "phone"), (3, 6, "card"), (6, 7, "ip")]) == "a<PHONE><IP>h"

@@ -87,6 +87,8 @@ _WORD_BEFORE = re.compile(r"\S+\s*$")
 _EDGE_L, _EDGE_R = "\"'<[{,;:.!?*#$%&=`|/\\", "\"'>]},;:.!?*#$%&=`|/\\"
 #: Characters of context read on either side of a chain.
 CONTEXT = 32
+#: Words of a chain whose features are held at once; it is decoded as a whole.
+PART = 512
 
 
 def chains(text: str):
@@ -114,15 +116,17 @@ def _cue(word: str) -> str:
     return word.lower().strip("".join(set(_EDGE_L + _EDGE_R)) + "()")[:16]
 
 
-def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
-    """The features of each word of a chain."""
-    bare = [text[a:b].lstrip(_EDGE_L).rstrip(_EDGE_R) for a, b in run]
-    shapes = [shape(w[:64]) for w in bare]
+def features(text: str, run: list[tuple[int, int]], lo: int = 0, hi: int | None = None) -> list[list[str]]:
+    """The features of each word of a chain, or of its words from ``lo`` to before ``hi``."""
+    hi = len(run) if hi is None else min(hi, len(run))
+    bare = {i: text[slice(*run[i])].lstrip(_EDGE_L).rstrip(_EDGE_R) for i in range(max(0, lo - 1), min(len(run), hi + 1))}
+    shapes = {i: shape(w[:64]) for i, w in bare.items()}
     before = _WORD_BEFORE.search(text[max(0, run[0][0] - CONTEXT) : run[0][0]])
     after = text[run[-1][1] : run[-1][1] + CONTEXT].split(None, 1)
     cue, cue2 = _cue(before[0].strip()) if before else "", _cue(after[0]) if after else ""
     rows = []
-    for i, (w, s) in enumerate(zip(bare, shapes, strict=True)):
+    for i in range(lo, hi):
+        w, s = bare[i], shapes[i]
         d = sum("0" <= c <= "9" for c in w)
         rows.append([
             "1", f"s={s}", f"n={min(d, 20)}", f"len={min(len(w), 24)}", f"abc={any(c.isalpha() for c in w)}", f"at={'@' in w}", f"dots={min(w.count('.'), 4)}", f"dash={min(w.count('-'), 4)}",
@@ -353,12 +357,10 @@ def all_spans(text_list: list[str], model: Crf) -> list[list[tuple[int, int, int
     words = 0
     for i, text in enumerate(text_list):
         for run in chains(text):
-            for a in range(0, len(run), 512):  # a very long chain is decoded in parts
-                part = run[a : a + 512]
-                where.append(i)
-                runs.append(part)
-                scores.append(model.emissions(features(text, part)))
-                words += len(part)
+            where.append(i)
+            runs.append(run)
+            scores.append(np.concatenate([model.emissions(features(text, run, a, a + PART)) for a in range(0, len(run), PART)]))
+            words += len(run)
         if words > 20_000:
             decode()
             words = 0
