@@ -32,11 +32,14 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of five-word Jaccard similarity 0.8, keep the smallest doc_id.
 
-    Rows that share a doc_id are one document; rows without one stay.
+    A row goes if its own text is linked to a smaller doc_id, whatever other
+    rows share its doc_id.  Rows that repeat the smallest doc_id of a group all
+    stay, and so do rows without a doc_id.
     """
-    joined = jaccard.jaccard_join(docs, k=5, percent=80)
-    gone = joined.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*docs.columns)
+    joined = jaccard.jaccard_join(docs, k=5, percent=80, hashed=True)
+    gone = joined.where("component_id < doc_id").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct()
+    text_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(gone, (docs["doc_id"] == gone["gone"]) & (text_hash == gone["gone_text"]), "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

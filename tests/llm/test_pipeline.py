@@ -84,3 +84,12 @@ def test_columns_are_kept(spark, corpus):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs, d).dtypes == docs.dtypes
     assert np.all([callable(f) for _, f in P.STAGES]) and P.ORACLE_SQL is None
+
+
+def test_near_copies_are_told_by_row(spark, corpus):
+    d, _, _ = corpus
+    rng = random.Random(3)
+    one, two = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, one), (2, one + " more"), (2, two), (3, two + " more"), (4, None), (4, one.upper())]
+    docs = spark.createDataFrame([(i, t, None, None, None, n, "h", 3, 4) for n, (i, t) in enumerate(rows)], COLUMNS)
+    assert sorted(r.row for r in P.drop_near_copies(spark, docs, d).collect()) == [0, 2, 4]

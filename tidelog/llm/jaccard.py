@@ -86,7 +86,8 @@ def _base(rule: Rule):
                         seen.clear()
                     seen.add(node)
             post = tk.ragged([p.view(np.int64) for p in posts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), post], names=["doc_id", "n", "node", "post"])
+            own = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), post], names=[*own, "n", "node", "post"])
 
     return run
 
@@ -227,9 +228,12 @@ def _search(rule: Rule):
     return run
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
+    With ``hashed`` also text_hash, the xxhash64 of the text (of "" for null),
+    which tells rows apart that share an id.
+
     ``component_id`` is the smallest doc_id that links reach, ``n_links`` the
     number of other documents (copies included) linked directly.  A null or
     empty text has no shingles and links with nothing.  A row with a null id
@@ -241,7 +245,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     bounded_batches(spark)
     rule = Rule(k, percent)
     docs = texts(docs, id_col, text_col)
-    base = cut(docs.mapInArrow(_base(rule), "doc_id bigint, n bigint, node bigint, post array<bigint>"))
+    given = docs.withColumn("text_hash", F.xxhash64("text")) if hashed else docs
+    names = ", ".join(f"{c} bigint" for c in given.columns if c != "text")
+    base = cut(given.mapInArrow(_base(rule), f"{names}, n bigint, node bigint, post array<bigint>"))
     nodes = base.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
     postings = base.where("size(post) > 0 and doc_id is not null").select(F.explode("post").alias("gram"), "node")
     counts = postings.repartitionByRange("gram", "node").sortWithinPartitions("gram", "node").mapInArrow(_shared_counts, "node bigint, c bigint").groupBy("node").agg(F.sum("c").alias("c"))
@@ -276,5 +282,6 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     classes = named.join(least, "root").join(links, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     own = F.col("doc_id").isNotNull()
     return base.join(classes, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
+        *["text_hash"] * hashed,
     )
