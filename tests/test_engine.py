@@ -12,6 +12,7 @@ from tidelog.operators.ranges import Range, multi_range
 from tidelog.plans import table as table_module
 from tidelog.plans.table import CommitConflictError, CorruptSnapshotError, Durability, KvTable, Options
 from tidelog.plans.tiers import TableMeta, Version
+from tidelog.sources.storage import CrashError, FaultyStorage
 
 SMALL = Options(fanout=4, bloom=False, partitions=2)
 
@@ -297,3 +298,96 @@ def test_unsigned_order_of_table_ranges(spark, tmp_path):
     t.flush()
     assert t.describe().select(F.hex("first_key"), F.hex("last_key")).first()[:] == ("00", "80")
     assert t.get(b"\x80") == b"x"
+
+
+@pytest.mark.parametrize("mode", list(Durability))
+def test_two_writers(spark, tmp_path, mode):
+    """Numbers are given at publication: what is published later wins, and no number is given twice."""
+    root = str(tmp_path / "t")
+    opt = Options(durability=mode, group_batches=9, bloom=False)
+    a, b = KvTable(spark, root, "bigint", "string", opt), KvTable(spark, root, "bigint", "string", opt)
+    if mode is Durability.ALWAYS:
+        b.put(1, "b")
+        with pytest.raises(CommitConflictError):
+            a.put(1, "a")
+        assert KvTable(spark, root, "bigint", "string").get(1) == "b"
+        a.refresh().put(1, "a")
+    else:
+        publish = KvTable.commit if mode is Durability.GROUP_COMMIT else KvTable.flush
+        a.put(1, "a")
+        a.delete(7)
+        b.put(1, "b")
+        publish(b)
+        with pytest.raises(CommitConflictError):
+            publish(a)
+        assert KvTable(spark, root, "bigint", "string").get(1) == "b"
+        publish(a.refresh())
+    new = KvTable(spark, root, "bigint", "string")
+    seqs = [r.seq for r in new.log().collect()]
+    assert new.get(1) == "a" and len(seqs) == len(set(seqs)) and new.version.next_seq == (3 if mode is Durability.ALWAYS else 4)
+    new.append(spark.createDataFrame([(1, 50, 1, "late")], "key long, seq long, tag int, value string"))
+    new.put(1, "last")
+    assert new.get(1) == "last" and new.version.next_seq == 52
+
+
+def test_buffered_batches_are_flushed_when_large(spark, tmp_path):
+    t = KvTable(spark, str(tmp_path / "t"), "bigint", "bigint", Options(durability=Durability.BUFFERED, flush_bytes=1, fanout=9, bloom=False))
+    t.put(1, 1)
+    t.put(2, 2)
+    assert t.describe().count() == 2 and KvTable(spark, str(tmp_path / "t"), "bigint", "bigint").get(2) == 2
+
+
+def test_multi_get_keeps_clashing_columns_apart(spark, tmp_path):
+    t = KvTable(spark, str(tmp_path / "t"), "bigint", "string", SMALL)
+    t.put(1, "x")
+    keys = spark.createDataFrame([(1, "own", 5, 6), (2, "own", 5, 6)], "key long, value string, _k int, seq int")
+    assert [r.asDict() for r in t.multi_get(keys).orderBy("key").collect()] == [{"key": 1, "_k": 5, "seq": 6, "value": "x"}, {"key": 2, "_k": 5, "seq": 6, "value": None}]
+    assert t.multi_get(keys, into="found").where("key = 1").first().asDict() == {"key": 1, "value": "own", "_k": 5, "seq": 6, "found": "x"}
+
+
+def _workload(t):
+    """Yields the state that each step acknowledges, before and after it."""
+    model = {}
+    for i, (key, value) in enumerate([(1, 10), (2, 20), (1, None), (3, 30)]):
+        new = {k: v for k, v in {**model, key: value}.items() if v is not None}
+        yield model, new
+        t.delete(key) if value is None else t.put(key, value)
+        model = new
+        if i in (1, 3):
+            yield model, model
+            t.flush()  # the second one merges a tier
+    yield model, model
+    t.vacuum(1, 0)
+    yield model, model
+
+
+def _crash(spark, root, opt, n, done):
+    """Run the workload until the n-th operation fails: (states it may leave, whether it failed)."""
+    disk = FaultyStorage(spark, root)
+    states = ({}, {})
+    try:
+        t = KvTable(spark, root, "bigint", "bigint", opt, storage=disk)
+        disk.arm(n, done)
+        for states in _workload(t):
+            pass
+    except CrashError:
+        return states, True
+    return states, False
+
+
+@pytest.mark.parametrize("done", [False, True])
+def test_crash_sweep(spark, tmp_path, done):
+    """A fault before or after any storage operation leaves the acknowledged state or that of the step under way."""
+    opt = Options(fanout=2, bloom=False, partitions=1)
+    for n in range(1, 99):
+        root = str(tmp_path / f"t{n}")
+        states, failed = _crash(spark, root, opt, n, done)
+        again = KvTable(spark, root, "bigint", "bigint", opt)
+        got = {r.key: r.value for r in again.scan(ordered=False).collect()}
+        assert got in states, (n, got, states)
+        if not failed:
+            break
+        again.put(9, 90)
+        again.flush()
+        assert KvTable(spark, root, "bigint", "bigint", opt).get(9) == 90
+    assert n > 12 and got == {2: 20, 3: 30}

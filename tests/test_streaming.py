@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tidelog.operators import resolve as R
-from tidelog.plans.table import KvTable, Options
+from tidelog.plans.table import Durability, KvTable, Options
 from tidelog.streaming import ingest
 
 SCHEMA = "key long, seq long, tag int, value double"
@@ -39,13 +39,16 @@ def test_stateful_changes(spark, source):
     assert last == want and len(rows) >= len(want)
 
 
-def test_into_table_and_restart(spark, source):
+@pytest.mark.parametrize("mode", list(Durability))
+def test_into_table_and_restart(spark, source, mode):
+    """What the stream's checkpoint counts as done is in the table for other readers, whatever the durability."""
     stream, want, tmp = source
-    table = KvTable(spark, str(tmp / "t"), "bigint", "double", Options(bloom=False))
-    for _ in range(2):  # the second run finds nothing new
-        ingest.into_table(stream, table, str(tmp / "cp"), flush_every=2, availableNow=True).awaitTermination()
     live = {k: v for k, (_, tag, v) in want.items() if tag}
-    assert {r.key: r.value for r in table.refresh().scan().collect()} == live
+    for _ in range(2):  # the second run finds nothing new, and its handle knows nothing of the first
+        table = KvTable(spark, str(tmp / "t"), "bigint", "double", Options(durability=mode, bloom=False))
+        ingest.into_table(stream, table, str(tmp / "cp"), flush_every=2, availableNow=True).awaitTermination()
+        assert {r.key: r.value for r in KvTable(spark, str(tmp / "t"), "bigint", "double").scan().collect()} == live
+    table.refresh()
     assert table.describe().count() >= 1
     table.append(stream.sparkSession.read.schema(SCHEMA).parquet(str(tmp / "in")))  # a replay changes nothing
     assert {r.key: r.value for r in table.scan().collect()} == live

@@ -6,6 +6,10 @@ Layout below the root::
     log/<uuid>/                   appended batches that no table holds yet
     data/<uuid>/                  sorted, range-partitioned tables
 
+Puts and deletes are numbered within their batch; the snapshot that publishes
+the batch gives it its base, so batches of several writers are ordered by
+publication and no number is given twice.
+
 A commit writes files under new names and then publishes a snapshot by an
 exclusive create-and-rename; a reader that has loaded a snapshot keeps reading
 its files until vacuum() removes them after the retention time.  Durability
@@ -29,6 +33,7 @@ from pyspark.sql import types as T
 from tidelog.operators import resolve as R
 from tidelog.operators.ranges import Range
 from tidelog.plans.tiers import TableMeta, Version
+from tidelog.sources.storage import Storage
 
 
 class TableError(Exception):
@@ -90,17 +95,29 @@ def _unplain(x):
     return base64.b64decode(x["bytes"]) if isinstance(x, dict) else x
 
 
+@dataclass(frozen=True)
+class Staged:
+    """A batch on disk that no snapshot has.
+
+    ``rows`` numbers of its own to be based, or None if its rows have their
+    final sequence numbers, the greatest of which is ``top``.
+    """
+
+    path: str
+    rows: int | None
+    top: int
+    size: int
+
+
 class KvTable:
     """A handle pinned to one snapshot; refresh() moves it to the newest."""
 
-    def __init__(self, spark: SparkSession, root: str, key_type: str = "binary", value_type: str = "binary", options: Options | None = None):
+    def __init__(self, spark: SparkSession, root: str, key_type: str = "binary", value_type: str = "binary", options: Options | None = None, storage: Storage | None = None):
         self.spark, self.root, self.options = spark, root.rstrip("/"), options or Options()
         self.schema = T._parse_datatype_string(f"key {key_type}, seq bigint, tag tinyint, value {value_type}")
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        self._path = hadoop.Path
-        self._fs = hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(hadoop.Path(f"{self.root}/_snapshots"))
-        self._unpublished: list[str] = []
+        self.storage = storage or Storage(spark, self.root)
+        self.storage.mkdirs("_snapshots")
+        self._unpublished: list[Staged] = []
         self.refresh()
 
     @classmethod
@@ -112,7 +129,7 @@ class KvTable:
 
     def snapshots(self) -> list[int]:
         """Numbers of the published snapshots, ascending."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/_snapshots"))]
+        names = [name for name, _ in self.storage.list("_snapshots")]
         return sorted(int(n[:20]) for n in names if len(n) == 25 and n.endswith(".json") and n[:20].isdigit())
 
     def refresh(self, number: int | None = None) -> KvTable:
@@ -130,7 +147,7 @@ class KvTable:
             if body["crc"] != _crc(state):
                 raise CorruptSnapshotError(f"snapshot {number} fails its checksum")
             tiers = tuple(tuple(TableMeta(m["id"], m["path"], m["num_entries"], _unplain(m["first_key"]), _unplain(m["last_key"])) for m in t) for t in state["tiers"])
-            return Version(tiers, state["next_seq"], state["next_table_id"], tuple(state["pending"]))
+            return Version(tiers, state["next_seq"], state["next_table_id"], tuple((path, base) for path, base in state["pending"]))
         except (TypeError, KeyError, ValueError) as e:
             raise CorruptSnapshotError(f"snapshot {number} cannot be read") from e
 
@@ -138,14 +155,9 @@ class KvTable:
         """Make a version current; CommitConflictError if its number is taken."""
         number = self.number + 1
         tiers = [[asdict(t) | {"first_key": _plain(t.first_key), "last_key": _plain(t.last_key)} for t in tier] for tier in version.tiers]
-        state = {"tiers": tiers, "next_seq": version.next_seq, "next_table_id": version.next_table_id, "pending": list(version.pending)}
-        final = self._path(f"{self.root}/_snapshots/{number:020d}.json")
-        temporary = self._path(f"{self.root}/_snapshots/.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(temporary, False)
-        out.write(bytearray(json.dumps({"state": state, "crc": _crc(state)}).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
-            self._fs.delete(temporary, False)
+        state = {"tiers": tiers, "next_seq": version.next_seq, "next_table_id": version.next_table_id, "pending": [list(p) for p in version.pending]}
+        text = json.dumps({"state": state, "crc": _crc(state)})
+        if not self.storage.publish(f"_snapshots/{number:020d}.json", text.encode()):
             raise CommitConflictError(f"snapshot {number} exists")
         self.number, self.version = number, version
 
@@ -158,7 +170,14 @@ class KvTable:
         delete of their key: merges into the oldest tier forget deletes.
         Invalid rows fail the append before anything is published.
         """
-        self._append(R.validate(log.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])))
+        self._append(self._checked(log), own=True)
+
+    def stage(self, log: DataFrame) -> None:
+        """Write log rows without publishing them; commit() does, as often as it is tried."""
+        self._write(self._checked(log), own=True)
+
+    def _checked(self, log: DataFrame) -> DataFrame:
+        return R.validate(log.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]))
 
     def put_many(self, rows: DataFrame, order_by: list[str] | None = None) -> None:
         """Upsert (key, value) rows; later rows of ``order_by`` win."""
@@ -178,63 +197,76 @@ class KvTable:
     def _one(self, key, tag, value) -> None:
         if key is None or (tag == R.PUT and value is None):
             raise ValueError("a key and the value of a put must not be null")
-        self._append(self.spark.createDataFrame([(key, self._next_seq(), tag, value)], self.schema))
+        self._append(self.spark.createDataFrame([(key, 0, tag, value)], self.schema))
 
     def _numbered(self, rows: DataFrame, order_by: list[str] | None) -> DataFrame:
         order = [f"_o{i}" for i in range(len(order_by))] if order_by else ["key"]
-        return R.validate(R.assign_seq(rows, order, self._next_seq()).select(*[F.col(f.name).cast(f.dataType) for f in self.schema]))
+        return self._checked(R.assign_seq(rows, order, 0))
 
-    def _next_seq(self) -> int:
-        if not self._unpublished:
-            return self.version.next_seq
-        return self._high_water(self._read_log(self._unpublished), self.version.next_seq)
-
-    @staticmethod
-    def _high_water(log: DataFrame, least: int) -> int:
-        return max(least, (log.agg(F.max("seq")).first()[0] or 0) + 1)
-
-    def _append(self, log: DataFrame) -> None:
+    def _write(self, log: DataFrame, own: bool = False) -> Staged:
         path = f"log/{uuid.uuid4().hex}"
-        log.select(*self.schema.names).write.parquet(f"{self.root}/{path}")
-        self._unpublished.append(path)
+        self.storage.save(log.select(*self.schema.names), path)
+        rows, top = self.spark.read.schema(self.schema).parquet(f"{self.root}/{path}").agg(F.count("*"), F.max("seq")).first()
+        batch = Staged(path, None if own else rows, top or 0, self.storage.size(path))
+        self._unpublished.append(batch)
+        return batch
+
+    def _append(self, log: DataFrame, own: bool = False) -> None:
+        batch = self._write(log, own)
         mode = self.options.durability
         if mode is Durability.ALWAYS or (mode is Durability.GROUP_COMMIT and len(self._unpublished) >= self.options.group_batches):
             try:
                 self.commit()
             except CommitConflictError:
-                self._unpublished.remove(path)  # the caller appends again after refresh()
+                if batch in self._unpublished:
+                    self._unpublished.remove(batch)  # the caller appends again after refresh()
                 raise
+        elif mode is Durability.BUFFERED and self._full(self._unpublished):
+            self.flush()
+
+    def _based(self, batches: list[Staged]) -> tuple[tuple[tuple[str, int | None], ...], int]:
+        """The batches as they follow the pinned snapshot, each with its base, and the next sequence number."""
+        out, after = [], self.version.next_seq
+        for b in batches:
+            out.append((b.path, None if b.rows is None else after))
+            after = max(after, b.top + 1) if b.rows is None else after + b.rows
+        return tuple(out), after
 
     def commit(self) -> None:
-        """Publish the appended batches that no snapshot has yet, all in one."""
+        """Publish the appended batches that no snapshot has yet, all in one.
+
+        After a conflict they are kept: refresh() and commit() again.
+        """
         if not self._unpublished:
             return
-        new = tuple(self._unpublished)
-        self._publish(Version(self.version.tiers, self._high_water(self._read_log(new), self.version.next_seq), self.version.next_table_id, (*self.version.pending, *new)))
+        new, after = self._based(self._unpublished)
+        self._publish(Version(self.version.tiers, after, self.version.next_table_id, (*self.version.pending, *new)))
         self._unpublished.clear()
-        if self._stored_bytes(self.version.pending) >= self.options.flush_bytes:
+        if self._full([]):
             self.flush()
 
-    def _stored_bytes(self, paths) -> int:
-        """Bytes of some batches on disk, from file metadata only."""
-        return sum(self._fs.getContentSummary(self._path(f"{self.root}/{p}")).getLength() for p in paths)
+    def _full(self, staged: list[Staged]) -> bool:
+        """Whether pending batches have grown to a table's size."""
+        return sum(b.size for b in staged) + sum(self.storage.size(path) for path, _ in self.version.pending) >= self.options.flush_bytes
 
     def pending_bytes(self) -> int:
         """Accounted bytes of the pending batches, each key once."""
-        paths = [*self.version.pending, *self._unpublished]
-        if not paths:
+        batches = self._pending()
+        if not batches:
             return 0
         size = lambda c: F.octet_length(F.col(c).cast("string")) if self.schema[c].dataType.typeName() not in ("binary", "string") else F.octet_length(c)
-        total = R.resolve(self._read_log(paths)).agg(F.sum(size("key") + F.coalesce(size("value"), F.lit(0)) + 32)).first()[0]
+        total = R.resolve(self._read_log(batches)).agg(F.sum(size("key") + F.coalesce(size("value"), F.lit(0)) + 32)).first()[0]
         return int(total or 0)
 
+    def _pending(self) -> list[tuple[str, int | None]]:
+        """Published and own batches with their bases, in order."""
+        return [*self.version.pending, *self._based(self._unpublished)[0]]
+
     def flush(self) -> None:
         """Write the pending batches as one table of tier 0, then merge full tiers."""
-        paths = [*self.version.pending, *self._unpublished]
-        if paths:
-            log = self._read_log(paths)
-            table = self._write_table(R.resolve(log))
-            self._publish(self.version.with_flush(table, self._high_water(log, self.version.next_seq)))
+        if batches := self._pending():
+            table = self._write_table(R.resolve(self._read_log(batches)))
+            self._publish(self.version.with_flush(table, self._based(self._unpublished)[1]))
             self._unpublished.clear()
         self.compact()
 
@@ -261,28 +293,32 @@ class KvTable:
         path = f"data/{uuid.uuid4().hex}"
         n = self.options.partitions
         spread = rows.repartitionByRange(n, "key") if n else rows.repartitionByRange("key")
-        writer = spread.sortWithinPartitions("key").write
-        if self.options.bloom:
-            writer = writer.option("parquet.bloom.filter.enabled#key", "true")
-        writer.parquet(f"{self.root}/{path}")
+        bloom = {"parquet.bloom.filter.enabled#key": "true"} if self.options.bloom else {}
+        self.storage.save(spread.sortWithinPartitions("key"), path, **bloom)
         count, first, last = self.spark.read.schema(self.schema).parquet(f"{self.root}/{path}").agg(F.count("*"), F.min("key"), F.max("key")).first()
         return TableMeta(self.version.next_table_id, path, count, first, last) if count else None
 
     # --- reads -----------------------------------------------------------------------
 
-    def _read_log(self, paths) -> DataFrame:
-        if not paths:
+    def _read_log(self, batches) -> DataFrame:
+        """The rows of (path, base) files; a base is added to the numbers of its batch."""
+        if not batches:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{p}" for p in paths])
+        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{path}" for path, _ in batches])
+        bases = {path.rpartition("/")[2]: base for path, base in batches if base is not None}
+        if not bases:
+            return rows
+        base = F.element_at(F.create_map(*[F.lit(x) for item in bases.items() for x in item]), F.regexp_extract("_metadata.file_path", r"/log/([0-9a-f]{32})/", 1))
+        return rows.select("key", (F.col("seq") + F.coalesce(base, F.lit(0))).alias("seq"), "tag", "value")
 
     def _read_tables(self, tables) -> DataFrame:
-        return self._read_log([t.path for t in tables])
+        return self._read_log([(t.path, None) for t in tables])
 
     def log(self, r: Range | None = None) -> DataFrame:
         """All versions that the pinned snapshot holds, with tables outside the range left out."""
         r = r or Range()
         tables = [t for t in self.version.newest_first() if _meets(r, t)]
-        return self._read_log([t.path for t in tables] + list(self.version.pending) + self._unpublished).where(r.contains())
+        return self._read_log([(t.path, None) for t in tables] + self._pending()).where(r.contains())
 
     def resolved(self, r: Range | None = None) -> DataFrame:
         """The newest version of every key of a range, deletes included.
@@ -311,19 +347,22 @@ class KvTable:
         row = R.hide_deletes(self.resolved(Range(key, key, True, True))).first()
         return row["value"] if row else None
 
-    def multi_get(self, keys: DataFrame, key: str = "key") -> DataFrame:
+    def multi_get(self, keys: DataFrame, key: str = "key", into: str = "value") -> DataFrame:
         """Every row of ``keys`` with the key's value, null where absent or deleted.
 
-        Catalyst pushes nothing of a join below the resolution, so versions of
-        other keys go before it by a semi-join: a broadcast if the keys are
-        few, else the shuffle that the resolution needs anyway.
+        The value goes ``into`` a new last column; a column of that name is
+        replaced.  Catalyst pushes nothing of a join below the resolution, so
+        versions of other keys go before it by a semi-join: a broadcast if the
+        keys are few, else the shuffle that the resolution needs anyway.
         """
         if self.version.pending or self._unpublished or _split_overlapping(self.version.newest_first())[1]:
             found = R.live(self.log().join(keys.select(F.col(key).alias("key")), "key", "left_semi"))
         else:
             found = R.hide_deletes(self.resolved())
-        found = found.select(F.col("key").alias("_k"), "value")
-        return keys.join(found, keys[key] == found["_k"], "left").drop("_k")
+        found = found.select(F.struct("key", "value").alias("_found"))
+        asked = keys.select(F.struct("*").alias("_row"))
+        kept = [F.col(f"_row.`{c}`").alias(c) for c in keys.columns if c != into]
+        return asked.join(found, F.col(f"_row.`{key}`") == F.col("_found.key"), "left").select(*kept, F.col("_found.value").alias(into))
 
     def as_of(self, seq: int) -> DataFrame:
         """Live pairs after the version ``seq``, as far as merges have kept older versions."""
@@ -343,16 +382,15 @@ class KvTable:
         """
         known = self.snapshots()
         kept = [self._load(n) for n in known[-max(1, keep_snapshots) :]] + [self.version]
-        used = {t.path for v in kept for t in v.newest_first()} | {p for v in kept for p in v.pending} | set(self._unpublished)
+        used = {t.path for v in kept for t in v.newest_first()} | {path for v in kept for path, _ in v.pending} | {b.path for b in self._unpublished}
         for n in known[: -max(1, keep_snapshots)]:
-            self._fs.delete(self._path(f"{self.root}/_snapshots/{n:020d}.json"), False)
+            self.storage.delete(f"_snapshots/{n:020d}.json")
         gone = []
         for kind in ("data", "log"):
-            folder = self._path(f"{self.root}/{kind}")
-            for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-                name = f"{kind}/{status.getPath().getName()}"
-                if name not in used and time.time() * 1000 - status.getModificationTime() >= older_than_s * 1000:
-                    self._fs.delete(status.getPath(), True)
+            for file, changed in self.storage.list(kind):
+                name = f"{kind}/{file}"
+                if name not in used and time.time() * 1000 - changed >= older_than_s * 1000:
+                    self.storage.delete(name)
                     gone.append(name)
         return gone
 

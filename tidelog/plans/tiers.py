@@ -27,12 +27,15 @@ class TableMeta:
 
 @dataclass(frozen=True)
 class Version:
-    """An immutable set of tables and the counters of the next seq and id."""
+    """An immutable set of tables and the counters of the next seq and id.
+
+    ``pending`` lists batches with the base of their numbers, None if these are final.
+    """
 
     tiers: tuple[tuple[TableMeta, ...], ...] = ()
     next_seq: int = 1
     next_table_id: int = 1
-    pending: tuple[str, ...] = ()
+    pending: tuple[tuple[str, int | None], ...] = ()
 
     def with_flush(self, table: TableMeta | None, next_seq: int) -> Version:
         """A table on top of tier 0; the pending batches are in it."""

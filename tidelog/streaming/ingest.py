@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.operators import resolve as R
-from tidelog.plans.table import KvTable
+from tidelog.plans.table import CommitConflictError, KvTable
 
 
 def newest(stream: DataFrame, *keys: str) -> DataFrame:
@@ -51,14 +51,21 @@ def newest_stateful(stream: DataFrame, key_type: str = "bigint", value_type: str
 def into_table(stream: DataFrame, table: KvTable, checkpoint: str, flush_every: int = 16, **trigger) -> StreamingQuery:
     """Append every micro-batch of log rows to a table, one commit each.
 
-    A batch that is replayed after a failure is harmless: resolution goes by
-    sequence number.  ``trigger`` is passed to the writer, for example
-    ``availableNow=True``; back-pressure is the source's batch size.
+    A batch is published before the stream's checkpoint counts it as done,
+    whatever the table's durability; another writer's commit in between only
+    makes it try again.  A batch that is replayed after a failure is harmless:
+    resolution goes by sequence number.  ``trigger`` is passed to the writer,
+    for example ``availableNow=True``; back-pressure is the source's batch size.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
-        table.refresh()
-        table.append(batch)
+        table.stage(batch)
+        while True:
+            try:
+                table.refresh().commit()
+                break
+            except CommitConflictError:
+                continue
         if number % flush_every == flush_every - 1:
             table.flush()
 
