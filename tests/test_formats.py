@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import bloom, encoding
 from tidelog.operators import blocks, measure
 from tidelog.sources import wal
+from tidelog.sources.storage import CrashError, FaultyStorage, Storage
 
 
 def test_frames():
@@ -53,14 +54,14 @@ def test_replay_from_files(spark, tmp_path):
     (tmp_path / f"{9:020d}.tmp").write_bytes(b"junk")
     got = sorted((r.seq, bytes(r.key), r.tag, r.value and bytes(r.value)) for r in wal.replay(spark, str(tmp_path)).collect())
     assert got == [(s, k, int(v is not None), v) for k, s, v in rows[:29]]
-    report = wal.recovery_report(wal.decode_frames(wal.read_segments(spark, str(tmp_path)))).first()
+    report = wal.recovery_report(wal.read_segments(spark, str(tmp_path))).first()
     assert tuple(report) == (29, 3, len(b"".join(wal.frame(wal.encode_record(*r)) for r in rows[20:29])), wal.TRUNCATED)
 
 
 def test_clean_and_empty_logs(spark):
     segments = spark.createDataFrame([(1, wal.frame(b"one") + wal.frame(b"two")), (2, wal.frame(b"three")), (3, b"")], "segment_id long, content binary")
-    assert tuple(wal.recovery_report(wal.decode_frames(segments)).first()) == (3, 2, 13, wal.CLEAN)
-    assert tuple(wal.recovery_report(wal.decode_frames(segments.where("false"))).first()) == (0, None, 0, wal.CLEAN)
+    assert tuple(wal.recovery_report(segments).first()) == (3, 2, 13, wal.CLEAN)
+    assert tuple(wal.recovery_report(segments.where("false")).first()) == (0, None, 0, wal.CLEAN)
 
 
 def test_encodings_match_python(spark):
@@ -120,3 +121,56 @@ def test_work_partition(spark):
 def test_permutation(spark):
     a = [r.id for r in measure.shuffled(spark.range(50), "id", 1).collect()]
     assert sorted(a) == list(range(50)) and a == [r.id for r in measure.shuffled(spark.range(50), "id", 1).collect()] and a != [r.id for r in measure.shuffled(spark.range(50), "id", 2).collect()]
+
+
+def test_log_writer(spark, tmp_path):
+    disk = FaultyStorage(spark, str(tmp_path))
+    payloads = [wal.encode_record(b"k%d" % i, i, b"v" * (i % 5)) for i in range(1, 60)]
+    stored = lambda: [bytes(r.payload) for r in wal.valid_prefix(wal.read_segments(spark, str(tmp_path / "log"))).orderBy("segment_id", "frame_no").collect()]
+    writer = wal.LogWriter(disk, segment_bytes=200)
+    for p in payloads[:50]:
+        writer.append(p)
+    assert stored() == payloads[: len(stored())] and writer.active_segment == len(writer.segments()) > 5  # the rest waits for a sync
+    writer.sync()
+    assert stored() == payloads[:50]
+    sizes = {n: disk.size(f"log/{n:020d}.wal") for n in writer.segments()}
+    assert all(200 <= v < 200 + 40 for n, v in sizes.items() if n != writer.active_segment)
+    again = wal.LogWriter(disk, segment_bytes=200)
+    assert again.recovered == 50 and again.active_segment == writer.active_segment
+    again.append(payloads[50])
+    again.sync()
+    assert stored() == payloads[:51]
+    for number, keep, flip in ((4, 70, False), (2, 100, True), (1, 3, False)):  # torn, flipped, and without a whole frame
+        disk.tear(f"log/{number:020d}.wal", keep, flip)
+        left = stored()
+        again = wal.LogWriter(disk, segment_bytes=200)
+        assert stored() == left == payloads[: again.recovered] and again.segments()[-1] == number
+        for p in payloads[again.recovered :]:
+            again.append(p)
+        again.sync()
+        assert stored() == payloads
+    again.reset()
+    assert stored() == [] and again.segments() == [again.active_segment]
+    assert wal.LogWriter(disk).active_segment == again.active_segment
+
+
+def test_crash_while_the_tail_is_cut(spark, tmp_path):
+    """Whatever operation of the recovery fails, the next one finds the same prefix."""
+    payloads = [wal.encode_record(b"k", i, b"v") for i in range(1, 40)]
+    writer = wal.LogWriter(Storage(spark, str(tmp_path)), segment_bytes=200)
+    for p in payloads:
+        writer.append(p)
+    writer.sync()
+    FaultyStorage(spark, str(tmp_path)).tear(f"log/{3:020d}.wal", 90, True)
+    for n in range(2, 9):
+        disk = FaultyStorage(spark, str(tmp_path))
+        disk.arm(n)
+        try:
+            writer, failed = wal.LogWriter(disk, segment_bytes=200), False
+        except CrashError:
+            failed = True
+        got = [bytes(r.payload) for r in wal.valid_prefix(wal.read_segments(spark, str(tmp_path / "log"))).orderBy("segment_id", "frame_no").collect()]
+        assert got == payloads[: len(got)] and 10 < len(got) < 20
+        if not failed:
+            break
+    assert not failed and writer.recovered == len(got) and writer.segments() == [1, 2, 3]

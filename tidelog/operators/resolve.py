@@ -70,6 +70,17 @@ def as_of(log: DataFrame, n, seq: str = "seq") -> DataFrame:
     return log.where(F.col(seq) <= n)
 
 
+def prefix_counts(log: DataFrame, step: str, seq: str = "seq") -> DataFrame:
+    """(step, live_keys) after every step of the log, steps being runs of sequence numbers.
+
+    Each version adds or removes its key or changes nothing, so one pass over
+    the keys gives all prefixes; only one row a step is summed up in order.
+    """
+    before = F.lag("tag", 1, DELETE).over(Window.partitionBy("key").orderBy(seq))
+    changes = log.withColumn("_d", F.col("tag") - before).groupBy(step).agg(F.sum("_d").alias("_d"))
+    return changes.select(step, F.sum("_d").over(Window.orderBy(step)).cast("bigint").alias("live_keys"))
+
+
 def union(*sources: DataFrame) -> DataFrame:
     """All sources as one log, each row with the index of its source."""
     out = sources[0].withColumn("source", F.lit(0))

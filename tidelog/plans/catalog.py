@@ -20,8 +20,9 @@ from tidelog.operators import blocks, measure, ranges
 from tidelog.operators import resolve as R
 from tidelog.operators.ranges import Range
 from tidelog.plans import tiers
-from tidelog.plans.table import KvTable, Options
+from tidelog.plans.table import Durability, KvTable, Options
 from tidelog.sources import wal
+from tidelog.sources.storage import Storage
 from tidelog.streaming import ingest
 
 #: Versions of one flushed table, tables of a full tier.
@@ -50,6 +51,11 @@ def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tidelog-{what}-{uuid.uuid4().hex}"
+
+
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     put = F.col("event_type") != "error"
@@ -163,6 +169,54 @@ def log_ingest(spark, sf_dir):
     return R.validate(ev(spark, sf_dir))
 
 
+@query(
+    FLUSHED + ", n AS (SELECT DISTINCT flush_no AS n FROM fl), p AS (SELECT n, fl.* FROM n JOIN fl ON flush_no <= n)"
+    " SELECT n AS flush_no, count(*) FILTER (tag = 1) AS live_keys FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY n, key ORDER BY seq DESC) = 1) GROUP BY n"
+)
+def crash_prefix_states(spark, sf_dir):
+    """The live keys that recovery finds after a crash behind each flush: the state of every prefix."""
+    return R.prefix_counts(flushed(ev(spark, sf_dir)), "flush_no").select("flush_no", "live_keys")
+
+
+_BYTES = (
+    "WITH log AS (SELECT upper(substr(sha1(coalesce(text, '')), 1, 2 * (turn % 4)::INT)) AS key, conv_id * 1000 + turn + 1 AS seq, CASE WHEN turn % 5 = 4 THEN 0 ELSE 1 END AS tag,"
+    " CASE WHEN turn % 7 = 3 THEN '' ELSE coalesce(text, '') END AS value FROM conversations)"
+)
+
+
+def _byte_log(spark, sf_dir):
+    """Turns under keys of zero to three bytes, with prefixes of each other and bytes from 0x80; some values are empty."""
+    c = _read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    key = F.expr("substring(unhex(sha1(text)), 1, cast(turn % 4 as int))")
+    value = F.encode(F.when(F.col("turn") % 7 == 3, "").otherwise(F.col("text")), "utf-8")
+    put = F.col("turn") % 5 != 4
+    return c.select(key.alias("key"), (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("seq"), put.cast("int").alias("tag"), F.when(put, value).alias("value"))
+
+
+@query(
+    _BYTES + NEW + " SELECT key AS key_hex, sha256(value) AS value_sha256, row_number() OVER (ORDER BY key) AS place FROM newest WHERE tag = 1 AND key > '01' AND key <= 'C0'"
+)
+def byte_key_scan(spark, sf_dir):
+    """A table of byte keys: a range in unsigned order, numbered in that order."""
+    table = KvTable(spark, _scratch(spark, "bytes"), options=Options(bloom=False))
+    log = _byte_log(spark, sf_dir)
+    table.append(log.where("seq % 3 > 0"))
+    table.flush()
+    table.append(log.where("seq % 3 = 0"))
+    rows = R.assign_seq(table.scan(b"\x01", b"\xc0", False, True, ordered=False), ["key"], 1)
+    return rows.select(F.hex("key").alias("key_hex"), F.sha2("value", 256).alias("value_sha256"), F.col("seq").alias("place"))
+
+
+@query(_BYTES + NEW + ", f AS (SELECT DISTINCT substr(key, 1, 2) AS p FROM log) SELECT p AS key_hex, CASE WHEN tag = 1 THEN octet_length(encode(value)) END::BIGINT AS bytes FROM f LEFT JOIN newest ON key = p")
+def byte_key_get(spark, sf_dir):
+    """Keys that are prefixes of others, present, deleted and absent."""
+    table = KvTable(spark, _scratch(spark, "bytes"), options=Options(bloom=False))
+    log = _byte_log(spark, sf_dir)
+    table.append(log)
+    asked = log.select(F.expr("substring(key, 1, 1)").alias("key")).distinct()
+    return table.multi_get(asked).select(F.hex("key").alias("key_hex"), F.octet_length("value").cast("bigint").alias("bytes"))
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + 99 AS seq FROM orders")
 def assign_seq(spark, sf_dir):
     return R.assign_seq(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 100).select("o_orderkey", "seq")
@@ -344,18 +398,42 @@ def output_is_bottom(spark, sf_dir):
     return tiers.output_is_bottom(merged_layout(spark, sf_dir))
 
 
-@query(FLUSHED + " SELECT key, seq, tag, value FROM per WHERE flush_no BETWEEN 5 AND 8 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
+_GROUPS = f", g AS (SELECT *, ceil(flush_no / {FANOUT}.0)::BIGINT AS grp FROM per)"
+
+
+@query(FLUSHED + _GROUPS + " SELECT grp, key, seq, tag, value FROM g QUALIFY row_number() OVER (PARTITION BY grp, key ORDER BY seq DESC) = 1")
 def compact_keep_tombstones(spark, sf_dir):
-    tables = R.resolve(flushed(ev(spark, sf_dir)).where("flush_no between 5 and 8"), "flush_no", "key").drop("flush_no")
-    return R.resolve(tables)
+    """Every group of four flushes merged into a table that is not the oldest."""
+    tables = R.resolve(flushed(ev(spark, sf_dir)), "flush_no", "key").withColumn("grp", F.ceil(F.col("flush_no") / FANOUT)).drop("flush_no")
+    return R.resolve(tables, "grp", "key")
 
 
-@query(FLUSHED + ", n AS (SELECT * FROM per WHERE flush_no <= 4 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, seq, tag, value FROM n WHERE tag = 1")
+@query(FLUSHED + " SELECT key, seq, tag, value FROM (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE tag = 1")
 def compact_drop_tombstones(spark, sf_dir):
-    tables = R.resolve(flushed(ev(spark, sf_dir)).where("flush_no <= 4"), "flush_no", "key").drop("flush_no")
+    """All flushes merged into the only table."""
+    tables = R.resolve(flushed(ev(spark, sf_dir)), "flush_no", "key").drop("flush_no")
     return R.resolve(tables).where(R.is_put())
 
 
+@query(
+    EV + ", t AS (SELECT *, (seq - 1) * 10 // (SELECT max(seq) FROM log) AS part FROM log)"
+    " SELECT key, seq, tag, value FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE tag = 1 OR part >= 4"
+)
+def merge_cascade(spark, sf_dir):
+    """Ten flushes of a table with a fanout of four: what all its files hold together.
+
+    The first four become the only table and lose their deletes; the next four
+    are merged above it and keep theirs, as they hide older versions.
+    """
+    log = ev(spark, sf_dir)
+    most = log.agg(F.max("seq")).first()[0] or 1
+    table = KvTable(spark, _scratch(spark, "cascade"), "bigint", "double", Options(bloom=False, fanout=FANOUT))
+    for part in range(10):
+        table.append(log.where(f"(seq - 1) * 10 div {most} = {part}"))
+        table.flush()
+    return table.resolved().select("key", "seq", F.col("tag").cast("int").alias("tag"), "value")
+
+
 _ORDK = f"SELECT o_orderkey // {FLUSH} + 1 AS id, count(*) AS num_entries, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1"
 
 
@@ -380,7 +458,7 @@ def file_names(spark, sf_dir):
 @query(FLUSHED + " SELECT key, seq, value FROM (SELECT * FROM per WHERE flush_no <= 6 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE tag = 1")
 def snapshot_read(spark, sf_dir):
     """Reads a pinned snapshot of a table that has been written to since."""
-    root = f"{shared_dir(spark).rstrip('/')}/snapshot-read-{uuid.uuid4().hex}"
+    root = _scratch(spark, "snapshot")
     table = KvTable(spark, root, "bigint", "double", Options(bloom=False, fanout=FANOUT))
     log = ev(spark, sf_dir)
     table.append(log.where(f"seq <= {6 * FLUSH}"))
@@ -452,20 +530,84 @@ def bloom_fpr(spark, sf_dir):
 # --- log segments -----------------------------------------------------------------------
 
 
-@query()
+#: CRC-32 of one byte, for every byte; the polynomial is a fixed value.
+def _crc_table() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+_FRAMES = (
+    "WITH e AS (SELECT event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS tag, lpad(hex(user_id), 16, '0') AS k, lpad(hex((value * 100)::BIGINT), 16, '0') AS v FROM events),"
+    " p AS (SELECT *, lpad(hex(seq), 16, '0') AS s FROM e),"
+    " q AS (SELECT seq, list_reduce(list_prepend('', list_transform(range(8), lambda i: substr(s, 15 - 2 * i, 2))), lambda a, b: a || b) || '0' || tag || '08000000' || k ||"
+    " CASE WHEN tag = 1 THEN '08000000' || list_reduce(list_prepend('', list_transform(range(8), lambda i: substr(v, 15 - 2 * i, 2))), lambda a, b: a || b) ELSE '' END AS body FROM p),"
+    f" t AS (SELECT {_crc_table()}::BIGINT[] AS t),"
+    " c AS (SELECT seq, body, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(body) // 2), lambda i: ('0x' || substr(body, 1 + 2 * i, 2))::BIGINT)),"
+    " lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS crc FROM q, t)"
+    " SELECT seq, list_reduce(list_transform([length(body) // 2, crc], lambda x: lpad(hex(x & 255), 2, '0') || lpad(hex((x >> 8) & 255), 2, '0') || lpad(hex((x >> 16) & 255), 2, '0') || lpad(hex(x >> 24), 2, '0')),"
+    " lambda a, b: a || b) || body AS frame FROM c"
+)
+
+
+def _payload():
+    value = F.when(F.col("tag") == 1, encoding.little_endian(F.round(F.col("value") * 100).cast("bigint"), 8))
+    return encoding.record(F.col("seq"), F.col("tag"), encoding.big_endian_key(F.col("key")), value)
+
+
+@query(_FRAMES)
 def frame_crc(spark, sf_dir):
-    """Every event as a framed log record; SQL has no CRC-32."""
-    e = ev(spark, sf_dir)
-    value = F.when(F.col("tag") == 1, encoding.little_endian((F.col("value") * 100).cast("bigint"), 8))
-    framed = encoding.frame(encoding.record(F.col("seq"), F.col("tag"), encoding.big_endian_key(F.col("key")), value))
-    return e.select("seq", F.hex(framed).alias("frame"))
+    """Every event as a framed log record."""
+    return ev(spark, sf_dir).select("seq", F.hex(encoding.frame(_payload())).alias("frame"))
+
+
+#: Bytes from which a log's segment is full.
+SEGMENT = 1 << 16
+_ROTATED = (
+    EV + ", c AS (SELECT seq, sum(29 + CASE WHEN tag = 1 THEN 12 ELSE 0 END) OVER (ORDER BY seq)::BIGINT AS total FROM log)"
+)
+
+
+def _written(spark, sf_dir, storage, folder, after: int = 0):
+    """Append EV's records behind a sequence number to a log, in order."""
+    log = wal.LogWriter(storage, folder, SEGMENT)
+    for row in ev(spark, sf_dir).where(f"seq > {after}").orderBy("seq").select(_payload().alias("p")).toLocalIterator(prefetchPartitions=True):
+        log.append(bytes(row.p))
+    log.sync()
+    return log
+
+
+@query(
+    _ROTATED.replace("WITH log", "WITH RECURSIVE log") + f", f AS (SELECT 1::BIGINT AS segment_id, 0::BIGINT AS done, (SELECT min(total) FROM c WHERE total >= {SEGMENT}) AS upto"
+    f" UNION ALL SELECT segment_id + 1, upto, (SELECT min(total) FROM c WHERE total >= f.upto + {SEGMENT}) FROM f WHERE upto IS NOT NULL)"
+    " SELECT segment_id, count(seq) AS frames, (coalesce(max(total), any_value(done)) - any_value(done))::BIGINT AS valid_len FROM f LEFT JOIN c ON total > done AND (upto IS NULL OR total <= upto) GROUP BY segment_id"
+)
+def wal_rotation(spark, sf_dir):
+    """The segments of a log that is written record by record and rotates at a size."""
+    storage = Storage(spark, _scratch(spark, "log"))
+    _written(spark, sf_dir, storage, "log")
+    return wal.segment_states(wal.read_segments(spark, f"{storage.root}/log")).select("segment_id", "frames", "valid_len")
+
+
+@query(EV + " SELECT key, seq, tag, value FROM log")
+def wal_truncate_reopen(spark, sf_dir):
+    """A log torn in the middle of a segment is reopened, cut there and written on: the whole log again."""
+    storage = Storage(spark, _scratch(spark, "log"))
+    log = _written(spark, sf_dir, storage, "log")
+    torn = f"log/{(log.active_segment + 1) // 2:020d}.wal"
+    storage.replace(torn, storage.read(torn)[: SEGMENT // 3])
+    log = wal.LogWriter(storage, "log", SEGMENT)
+    _written(spark, sf_dir, storage, "log", log.recovered)
+    return _replayed(wal.replay(spark, f"{storage.root}/log"))
 
 
 def _segments(spark, sf_dir, damaged: int | None = None):
-    """EV's log in segments of FLUSH frames, one byte of one frame flipped."""
+    """EV's log in segments of FLUSH frames, the last byte of one frame changed."""
     e = ev(spark, sf_dir)
-    value = F.when(F.col("tag") == 1, F.encode(F.col("value").cast("string"), "utf-8"))
-    framed = encoding.frame(encoding.record(F.col("seq"), F.col("tag"), encoding.big_endian_key(F.col("key")), value))
+    framed = encoding.frame(_payload())
     if damaged:
         framed = F.when(F.col("seq") == damaged, F.concat(F.substr(framed, F.lit(1), F.octet_length(framed) - 1), F.unhex(F.lit("FF")))).otherwise(framed)
     rows = e.select(F.expr(f"(seq - 1) div {FLUSH}").alias("segment_id"), "seq", F.hex(framed).alias("f"))
@@ -473,16 +615,30 @@ def _segments(spark, sf_dir, damaged: int | None = None):
     return parts.select("segment_id", F.unhex(F.array_join("rows.f", "")).alias("content"))
 
 
-@query(EV + " SELECT key, seq, tag, value FROM log WHERE seq <= 4321")
+def _damaged(spark, sf_dir) -> int:
+    """A frame behind three fifths of the log, whatever its size."""
+    return (ev(spark, sf_dir).agg(F.max("seq")).first()[0] or 0) * 3 // 5 + 1
+
+
+def _replayed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.conv(F.hex("key"), 16, 10).cast("bigint").alias("key"), "seq", F.col("tag").cast("int").alias("tag"), (encoding.number(F.col("value")) / 100).alias("value"))
+
+
+@query(EV + " SELECT key, seq, tag, value FROM log WHERE seq <= (SELECT max(seq) * 3 // 5 FROM log)")
 def wal_valid_prefix(spark, sf_dir):
-    """Decode and replay a log whose 4322nd frame is damaged."""
-    rows = wal.records(wal.valid_prefix(wal.decode_frames(_segments(spark, sf_dir, 4322))))
-    return rows.select(F.conv(F.hex("key"), 16, 10).cast("bigint").alias("key"), "seq", F.col("tag").cast("int").alias("tag"), F.decode("value", "utf-8").cast("double").alias("value"))
+    """Decode and replay a log with one damaged frame."""
+    return _replayed(wal.records(wal.valid_prefix(_segments(spark, sf_dir, _damaged(spark, sf_dir)))))
+
+
+@query(EV + " SELECT key, seq, tag, value FROM log")
+def wal_clean_replay(spark, sf_dir):
+    """Decode and replay a whole log."""
+    return _replayed(wal.records(wal.valid_prefix(_segments(spark, sf_dir))))
 
 
-@query(EV + ", h AS (SELECT max(seq) AS n FROM log) SELECT least(n, 4321)::BIGINT AS records, (least(n, 4322) - 1) // 1000 AS tail_segment, CASE WHEN n >= 4322 THEN 'BadCrc' ELSE 'Clean' END AS stop_reason FROM h")
+@query(EV + ", h AS (SELECT max(seq) * 3 // 5 AS n FROM log) SELECT n::BIGINT AS records, n // 1000 AS tail_segment, 'BadCrc' AS stop_reason FROM h")
 def wal_recovery_report(spark, sf_dir):
-    return wal.recovery_report(wal.decode_frames(_segments(spark, sf_dir, 4322))).select("records", "tail_segment", "stop_reason")
+    return wal.recovery_report(_segments(spark, sf_dir, _damaged(spark, sf_dir))).select("records", "tail_segment", "stop_reason")
 
 
 # --- measurement -------------------------------------------------------------------------
@@ -524,7 +680,7 @@ def work_partition(spark, sf_dir):
 
 def _streamed(spark, sf_dir, run):
     """Run a stream over the events table to its end and return what it left."""
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = _scratch(spark, "stream")
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     single = source.rpartition("/")
@@ -539,13 +695,17 @@ def _is_dir(spark, path):
 
 @query(EV + NEW + " SELECT key, seq, tag, value FROM newest")
 def stream_newest(spark, sf_dir):
-    """Newest-wins state of a stream, in complete mode."""
+    """Newest-wins state of a stream, in complete mode; each batch writes the state to the shared folder."""
 
     def run(stream, base):
-        name = f"newest_{base[-8:]}"
-        q = ingest.newest(ingest.as_log(stream)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.table(name)
+        done = []
+
+        def keep(state, number):
+            state.write.mode("overwrite").parquet(f"{base}/state/{number}")
+            done.append(number)
+
+        ingest.newest(ingest.as_log(stream)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{base}/state/{max(done)}")
 
     return _streamed(spark, sf_dir, run)
 
@@ -560,3 +720,25 @@ def stream_into_table(spark, sf_dir):
         return table.refresh().scan(ordered=False)
 
     return _streamed(spark, sf_dir, run)
+
+
+@query(EV + NEW + " SELECT key, value FROM newest WHERE tag = 1")
+def group_commit_replay(spark, sf_dir):
+    """A stream into a table with group commit, stopped and started again from its checkpoint by a new handle."""
+
+    def run(stream, base):
+        for _ in range(2):
+            table = KvTable(spark, f"{base}/table", "bigint", "double", Options(durability=Durability.GROUP_COMMIT, bloom=False))
+            ingest.into_table(ingest.as_log(stream), table, f"{base}/cp", availableNow=True).awaitTermination()
+        return KvTable(spark, f"{base}/table", "bigint", "double").scan(ordered=False)
+
+    return _streamed(spark, sf_dir, run)
+
+
+@query("SELECT c_custkey AS i, upper(lpad(to_hex(c_custkey), 32, '0')) AS key_hex, 100::BIGINT AS bytes, (c_custkey * 21) % 256 AS pattern FROM customer")
+def gen_values(spark, sf_dir):
+    """Keys and values of the workload: the number, then bytes that count up from a seed."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"))
+    value = encoding.bench_value(F.col("i"))
+    pattern = F.conv(F.substr(F.hex(value), F.lit(17), F.lit(2)), 16, 10).cast("bigint")
+    return c.select("i", F.hex(encoding.bench_key(F.col("i"))).alias("key_hex"), F.octet_length(value).cast("bigint").alias("bytes"), pattern.alias("pattern"))
