@@ -36,7 +36,7 @@ class Config:
     concurrency: int = 1
     batches: int = 10
     flush_bytes: int = 64 << 20
-    seed: int = 0x5EED
+    seed: int = 1729
 
 
 def pairs(spark: SparkSession, keys: int, random: bool, seed: int, first_seq: int = 1) -> DataFrame:
@@ -116,7 +116,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--batches", type=int, default=10)
     p.add_argument("--flush-bytes", type=int, default=64 << 20)
     p.add_argument("--dir", required=True)
-    p.add_argument("--seed", type=lambda s: int(s, 0), default=0x5EED)
+    p.add_argument("--seed", type=lambda s: int(s, 0), default=1729)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("tidelog-workloads").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     c = Config(a.workload, a.durability, a.keys, a.reads, a.concurrency, a.batches, a.flush_bytes, a.seed)
