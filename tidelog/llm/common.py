@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.session import cut, partitions, shared_dir
+
+__all__ = ["bounded_batches", "cut", "ddl", "partitions", "scratch", "shared_dir", "table", "texts"]
+
 #: Rows of one Arrow batch.  Documents can be very long, so a batch of the
 #: default 10,000 rows could outgrow a Python worker.
 BATCH_ROWS = 1024
@@ -26,30 +29,11 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is absent, as in tests on one machine, a temporary
-    folder is made and set for the session.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidelog-"))
-    return named or sc.getCheckpointDir()
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/tidelog-{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(doc_id, text) with the text of a null row empty.
 

@@ -67,19 +67,27 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def _is_stars(e: DataFrame) -> bool:
-    several = e.groupBy("hi").agg((F.min("lo") < F.max("lo")).alias("bad")).where("bad").select("hi")
-    chained = e.join(e.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").select("hi")
-    return several.unionByName(chained).isEmpty()
+    """Whether every hi has one lo and no lo is a hi."""
+    ends = e.select(F.col("hi").alias("v"), "lo").unionByName(e.select(F.col("lo").alias("v"), F.lit(None).cast("bigint").alias("lo")))
+    bad = ends.groupBy("v").agg(F.min("lo").alias("least"), F.max("lo").alias("most"), F.max(F.col("lo").isNull()).alias("low")).where("least < most or (low and least is not null)")
+    return bad.isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node on some edge; root is the smallest node.
 
     Null ends and loops are ignored; repeated edges are harmless; without
-    edges the result is empty.
+    edges the result is empty.  Contracted edges are read by as few tasks as
+    can hold them, CONTRACT_EDGES each; one task leaves nothing but stars.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
     e = cut(e.mapInArrow(_contract, "hi bigint, lo bigint"))
-    while not _is_stars(e):
-        e = cut(_small_star(_large_star(e)).mapInArrow(_contract, "hi bigint, lo bigint").distinct())
+    while True:
+        tasks = -(-e.count() // CONTRACT_EDGES)
+        if tasks <= 1:
+            e = cut(e.coalesce(1).mapInArrow(_contract, "hi bigint, lo bigint"))
+            break
+        if _is_stars(e):
+            break
+        e = cut(_small_star(_large_star(e)).coalesce(tasks).mapInArrow(_contract, "hi bigint, lo bigint").distinct())
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -5,15 +5,20 @@
 2. Post the smallest hashes of each set.  Two sets that are similar enough
    share at least ``floor_shared`` posted hashes, so a node that shares fewer
    with all others together has no partner and drops out, exactly.
-3. Over the rest, order shingles by document frequency and connect nodes whose
-   rarest shingles meet.  Only nodes of one such block can be similar.
-4. In each block (cut into bounded tiles, all tile pairs) search every set's
-   partners: merge its short inverted lists, probe its long ones by binary
-   search as in DivideSkip, and keep those with the required overlap.
+3. Over the rest, order shingles by document frequency; two similar sets share
+   one of their rarest.  The lists of these, cut where sizes are too far apart,
+   chain nodes to blocks, and a block is dealt in order of size and rarest
+   shingle into tiles of bounded size.
+4. Search each tile: merge a set's short inverted lists, probe its long ones by
+   binary search as in DivideSkip, and keep the partners with the required
+   overlap.  Two tiles are searched against each other only if one list of
+   step 3 spans both and their sizes are near enough.
 5. Tiles return a spanning forest and link counts instead of all pairs;
    connected components finish the job.
 
-No list, group or candidate set is capped.
+Lists are made by sorting (shingle, node) rows in range partitions, not by
+grouping, so a shingle of very many nodes is spread over tasks.  No list, group
+or candidate set is capped.
 """
 
 from __future__ import annotations
@@ -28,11 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkernel as tk
-from tidelog.llm.common import bounded_batches, cut, texts
+from tidelog.llm.common import bounded_batches, cut, partitions, texts
 from tidelog.llm.graph import components
 
-#: Shingles of one tile of a block, on average; two tiles meet in a task.
+#: Shingles of one tile of a block at most, but for a single larger set; two tiles meet in a task.
 TILE_SHINGLES = 300_000
+#: Bits of the bitmap of wanted rows.
+MARK_BITS = 1 << 25
+#: The place of a shingle whose frequency is not known, after all others.
+MOST = (1 << 62) - 1
 #: Nodes whose postings a task remembers, so as not to repeat them.
 SEEN_NODES = 500_000
 #: DivideSkip's weight of the longest list's logarithm.
@@ -130,6 +139,82 @@ def _shared_counts(batches):
         yield rows(node)
 
 
+def _frequencies(batches):
+    """Of rows sorted by (gram, node): (node, gram, df) of grams of several nodes.
+
+    All rows of a gram that touches a border of its partition get the same
+    last place in the order of frequencies: other partitions may have more of
+    it.  Any order that all sets share is right, and such grams are few.
+    """
+    held: list[np.ndarray] = []
+
+    def rows(gram, node, first, last):
+        fresh = np.ones(len(gram), dtype=bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+        gram, node = gram[fresh], node[fresh]
+        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        size = np.diff(np.r_[start, len(gram)])
+        if first:
+            size[0] = MOST
+        if last:
+            size[-1] = MOST
+        df = np.repeat(size, np.diff(np.r_[start, len(gram)]))
+        keep = df > 1
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(gram[keep]), pa.array(df[keep])], names=["node", "gram", "df"])
+
+    first = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gram = batch.column(0).to_numpy()
+        held.append(np.stack([gram, batch.column(1).to_numpy()]))
+        if held[0][0, 0] == gram[-1]:
+            continue  # one gram so far
+        gram, node = np.concatenate(held, axis=1)
+        cut_at = int(np.searchsorted(gram, gram[-1]))
+        yield rows(gram[:cut_at], node[:cut_at], first, False)
+        held, first = [np.stack([gram[cut_at:], node[cut_at:]])], False
+    if held:
+        gram, node = np.concatenate(held, axis=1)
+        yield rows(gram, node, first, True)
+
+
+def _chains(rule: Rule):
+    """Of rows sorted by (gram, n, node): edges that chain each list's nodes.
+
+    Neighbours whose sizes are too far apart are not chained, as nobody on
+    either side can be similar.  A gram is a vertex of its own where a border
+    of the partition may have cut its list.
+    """
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram, n, node = (batch.column(i).to_numpy() for i in range(3))
+            if last is not None:
+                gram, n, node = np.r_[last[0], gram], np.r_[last[1], n], np.r_[last[2], node]
+            else:
+                yield _pairs(node[:1], _vertex(gram[:1]))
+            near = (gram[1:] == gram[:-1]) & (node[1:] != node[:-1])
+            near &= rule.percent * n[1:] <= 100 * n[:-1]
+            yield _pairs(node[:-1][near], node[1:][near])
+            last = gram[-1], n[-1], node[-1]
+        if last is not None:
+            yield _pairs(np.array([last[2]]), _vertex(np.array([last[0]])))
+
+    return run
+
+
+def _vertex(gram: np.ndarray) -> np.ndarray:
+    return tk.mix(gram.view(np.uint64) ^ tk.LANES[61]).view(np.int64)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _sets(rule: Rule):
     def run(batches):
         for batch in batches:
@@ -171,30 +256,34 @@ def divide_skip(sets: list[np.ndarray], rule: Rule, side: np.ndarray | None = No
     doc = np.repeat(np.arange(d), n)
     flat = np.concatenate([sets[i] for i in order]) if d else np.zeros(0, np.int64)
     _, token = np.unique(flat, return_inverse=True)
-    lens = np.bincount(token)
     keys = np.sort(token * d + doc)  # the inverted lists, one after another
     post = keys % max(d, 1)
-    ends = np.cumsum(lens)
     at = np.r_[0, np.cumsum(n)]
     sides = side[order] if side is not None else None
     for x in range(d):
         own = token[at[x] : at[x + 1]]
-        own = own[lens[own] > 1]
         t = rule.least_shared(int(n[x]))
         lo = int(np.searchsorted(n, t))
-        if len(own) < t or lo >= x or not t:
+        if lo >= x or not t:
+            continue
+        # Only the sets in [lo, x) are asked for: a window of each list.
+        a, b = np.searchsorted(keys, own * d + lo), np.searchsorted(keys, own * d + x)
+        own, a, b = own[b > a], a[b > a], b[b > a]
+        if len(own) < t:
             continue
-        own = own[np.argsort(lens[own], kind="stable")]
-        aside = min(t - 1, int(t / (MU * np.log2(max(2, lens[own[-1]])) + 1)))
-        short, long = own[: len(own) - aside], own[len(own) - aside :]
-        hits = merge_lists([post[ends[g] - lens[g] : ends[g]] for g in short], d)
+        by = np.argsort(b - a, kind="stable")
+        own, a, b = own[by], a[by], b[by]
+        aside = min(t - 1, int(t / (MU * np.log2(max(2, b[-1] - a[-1])) + 1)))
+        cut_at = len(own) - aside
+        long = own[cut_at:]
+        hits = merge_lists([post[i:j] for i, j in zip(a[:cut_at], b[:cut_at], strict=True)], d)
         c = lo + np.flatnonzero(hits[lo:x] >= t - aside)
         if sides is not None:
             c = c[sides[c] != sides[x]]
         if not len(c):
             continue
-        if len(c) * len(long) > 4 * int(lens[long].sum()):  # merging the long lists is cheaper than probing them
-            hits = hits + merge_lists([post[ends[g] - lens[g] : ends[g]] for g in long], d)
+        if len(c) * len(long) > 4 * int((b - a)[cut_at:].sum()):  # merging the long lists is cheaper than probing them
+            hits = hits + merge_lists([post[i:j] for i, j in zip(a[cut_at:], b[cut_at:], strict=True)], d)
         else:
             for i in range(0, len(c), step := max(1, (1 << 18) // max(1, len(long)))):
                 want = (long[:, None] * d + c[None, i : i + step]).ravel()
@@ -205,29 +294,85 @@ def divide_skip(sets: list[np.ndarray], rule: Rule, side: np.ndarray | None = No
             yield int(order[x]), order[c]
 
 
+def _linked(rule: Rule, node: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None):
+    """(position of the component's first node, links) of every node of some sets."""
+    low, links = np.arange(len(node)), np.zeros(len(node), np.int64)
+    for x, ys in divide_skip(sets, rule, side):
+        links[x] += copies[ys].sum()
+        links[ys] += copies[x]
+        roots = np.unique(low[np.r_[ys, x]])
+        if len(roots) > 1:
+            low[np.isin(low, roots)] = roots[0]
+    return low, links
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+TILED = "node bigint, tile bigint, least bigint, most bigint, root bigint, links bigint"
+
+
+def _tiles(rule: Rule, most: int):
+    """Deal sorted rows (part, block, node, n, copies, grams) into tiles of ``most`` shingles, and search each in itself."""
+
+    def searched(held: list[tuple], tile: int):
+        n = [h[1] for h in held]
+        node, copies = np.array([h[0] for h in held]), np.array([h[2] for h in held])
+        low, links = _linked(rule, node, copies, [h[3] for h in held])
+        same = [[x] * len(held) for x in (tile, min(n), max(n))]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node, *same, node[low], links)], names=[x.split()[0] for x in TILED.split(", ")])
+
+    def run(batches):
+        held: list[tuple] = []
+        block = before = None
+        size = tile = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = tile or batch.column(0)[0].as_py() << 32
+            for b, *row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), _lists(batch.column(5)), strict=True):
+                if row[0] == before:
+                    continue  # a row that repeats id and text
+                if held and (b != block or size + row[1] > most):
+                    yield searched(held, tile)
+                    held, size, tile = [], 0, tile + 1
+                block, before = b, row[0]
+                held.append(row)
+                size += row[1]
+        if held:
+            yield searched(held, tile)
+
+    return run
+
+
 def _search(rule: Rule):
     def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
         table = table.take(pa.array(np.sort(np.unique(table.column("node").to_numpy(), return_index=True)[1])))
-        node = table.column("node").to_numpy()
-        copies = table.column("copies").to_numpy()
-        tile = table.column("tile").to_numpy()
-        lists = table.column("grams").combine_chunks()
-        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-        sets = [flat[at[r] : at[r + 1]] for r in range(len(node))]
-        low, links = np.arange(len(node)), np.zeros(len(node), np.int64)
-        for x, ys in divide_skip(sets, rule, tile if i != j else None):
-            links[x] += copies[ys].sum()
-            links[ys] += copies[x]
-            roots = np.unique(low[np.r_[ys, x]])
-            if len(roots) > 1:
-                low[np.isin(low, roots)] = roots[0]
+        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        low, links = _linked(rule, node, copies, _lists(table.column("grams").combine_chunks()), table.column("tile").to_numpy())
         has = links > 0
         return pa.table({"node": node[has], "root": node[low[has]], "links": links[has]})
 
     return run
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key's bit is set in a bitmap of the wanted keys, and so all that match.
+
+    The bitmap has a fixed size (4 KiB for each of at most MARK_BITS / 32,768
+    rows, 4 MiB together), so it may be broadcast; it spares most texts the
+    shuffle while few are wanted.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    bucket, place = F.floor(bit / 32768), (bit % 32768).cast("int")
+    marks = wanted.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_bucket", bucket).join(F.broadcast(marks), "_bucket")
+    return found.where(F.call_function("shiftright", byte, place % 8) % 2 == 1).select(*rows.columns)
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
@@ -252,29 +397,36 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     postings = base.where("size(post) > 0 and doc_id is not null").select(F.explode("post").alias("gram"), "node")
     counts = postings.repartitionByRange("gram", "node").sortWithinPartitions("gram", "node").mapInArrow(_shared_counts, "node bigint, c bigint").groupBy("node").agg(F.sum("c").alias("c"))
     rest = nodes.join(counts, "node").where(f"c >= {rule.sql_floor_shared('n')}").select("node", "n", "copies", "rep")
-    sets = docs.withColumnRenamed("doc_id", "rep").join(rest, "rep").select("node", "n", "copies", "text")
+    sets = _marked(docs.withColumnRenamed("doc_id", "rep"), rest, "rep").join(rest, "rep").select("node", "n", "copies", "text")
     # Rows that repeat both id and text repeat a node here; what follows takes each node once.
     sets = cut(sets.mapInArrow(_sets(rule), "node bigint, n bigint, copies bigint, grams array<bigint>"))
 
-    post = sets.select("node", F.explode("grams").alias("gram"))
-    often = post.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    rare = post.join(often, "gram").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("common"))
-    rare = rare.join(sets.select("node", "n").distinct(), "node").withColumn("want", F.expr(f"n - {rule.sql_least('n')} + 1 - (n - size(common))").cast("int"))
-    lists = rare.where("want > 0").select("node", F.explode(F.expr("slice(common, 1, want).gram")).alias("gram"))
-    heads = lists.groupBy("gram").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
-    near = lists.join(heads.select("gram", "head"), "gram").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    post = sets.select(F.explode("grams").alias("gram"), "node").repartitionByRange("gram", "node").sortWithinPartitions("gram", "node")
+    common = post.mapInArrow(_frequencies, "node bigint, gram bigint, df bigint").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("common"))
+    # A set's rarest shingles: those that no other set has come first, and so many that the rest is too small for a partner.
+    want = F.expr(f"n - {rule.sql_least('n')} + 1 - (n - size(common))").cast("int")
+    rare = common.join(sets.select("node", "n").distinct(), "node").withColumn("want", want).where("want > 0")
+    lists = cut(rare.select("node", "n", F.expr("slice(common, 1, want).gram").alias("grams")))
+    listed = lists.select(F.explode("grams").alias("gram"), "n", "node")
+    near = listed.repartitionByRange("gram", "n", "node").sortWithinPartitions("gram", "n", "node").mapInArrow(_chains(rule), "a bigint, b bigint")
     blocks = components(near).withColumnRenamed("root", "block")
 
-    members = sets.join(blocks, "node")
-    # A repeated node only makes its tiles smaller.
-    tiles = members.groupBy("block").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("tiles"))
-    cells = (
-        members.join(tiles, "block")
-        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "copies", "tile", "grams")
-    )
-    found = cut(cells.groupBy("block", "i", "j").applyInArrow(_search(rule), "node bigint, root bigint, links bigint"))
+    level = F.floor(F.log(100 / rule.percent, F.col("n"))) if percent < 100 else F.col("n")
+    placed = lists.select("node", F.col("grams")[0].alias("rarest"), level.alias("level")).join(blocks, "node")
+    order = ["block", "level", "rarest", "node"]
+    members = sets.join(placed, "node").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    tiled = cut(members.select(F.spark_partition_id().cast("bigint").alias("part"), "block", "node", "n", "copies", "grams").mapInArrow(_tiles(rule, TILE_SHINGLES), TILED))
+
+    # Tiles that a list spans, each set of tiles once; those of one size or nearly so meet.
+    tile = tiled.select("node", F.struct("tile", "least", "most").alias("t"))
+    spans = lists.select("node", F.explode("grams").alias("gram")).join(tile, "node").groupBy("gram").agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    pairs = spans.where("size(ts) > 1").select("ts").distinct().select(F.posexplode("ts").alias("at", "x"), "ts")
+    pairs = pairs.select("x", F.explode(F.expr("slice(ts, at + 2, size(ts))")).alias("y")).distinct()
+    pairs = pairs.where(f"{rule.percent} * x.least <= 100 * y.most and {rule.percent} * y.least <= 100 * x.most")
+    cells = pairs.select(F.expr("struct(x.tile as i, y.tile as j)").alias("cell"), F.explode(F.expr("array(x.tile, y.tile)")).alias("tile"))
+    cells = cells.join(tiled.select("node", "tile"), "tile").join(sets.select("node", "copies", "grams"), "node")
+    crossed = cut(cells.repartition(partitions(spark), "cell").groupBy("cell").applyInArrow(_search(rule), "node bigint, root bigint, links bigint"))
+    found = tiled.select("node", "root", "links").where("links > 0").unionByName(crossed)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
