@@ -104,3 +104,86 @@ def test_long_chains_are_decoded_whole():
 
 def test_redact_joins_overlaps():
     assert pii.redact("abcdefgh", [(1, 4, "phone"), (3, 6, "card"), (6, 7, "ip")]) == "a<PHONE><IP>h"
+
+
+#: Written by hand, not by the rules of labelled_table(); values are marked [kind|value].
+BY_HAND = [
+    "You can reach me at [phone|(415) 555-2671] after six.",
+    "Office: [phone|212-555-0187], ask for Ann.",
+    "Tel.: [phone|(020) 794-0958]",
+    "My cell is [phone|646.555.0142] and the door code is 4411.",
+    "Rufen Sie [phone|+49 30 1234567] an.",
+    "Appelez le [phone|+33 (142) 685-3000] avant midi",
+    "Fax [phone|(305) 555-0199], room 12",
+    "Send a text to [phone|917-555-0123]!",
+    "He wrote: [phone|(702) 555-0110]",
+    "phones: [phone|213-555-0100] [phone|213-555-0101]",
+    "Amex [card|3782 822463 10005] was charged $42.10 on 2023-04-05.",
+    "Visa [card|4111 1111 1111 1111] exp 12/27",
+    "pay with [card|5500-0000-0000-0004], please",
+    "the card number [card|6011000000000004] was stolen",
+    "Card: [card|3714 496353 98431].",
+    "ssh root at [ip|192.168.0.17] port 22",
+    "blocked [ip|10.20.30.40], [ip|172.16.254.1] and 3 more",
+    "server=[ip|8.8.8.8]",
+    "Write to [email|jane.doe42@mail.example.org].",
+    "contact [email|ops7@intranet] for access",
+    "Mail [email|first.last@example.co.uk] or [email|x_1@y.io]",
+    "cc: [email|dev2@buildhost]",
+    "Please call [phone|555-867-5309] or [phone|(555) 867-5310].",
+    "Ring [phone|(617) 555-0147] between 9 and 17.",
+    "kontakt [phone|089.555.0123]",
+    "mobile [phone|+1 (650) 555-0182]",
+    "on [phone|303-555-0176] we answer",
+    "Questions? [phone|(808) 555-0133] - aloha",
+    "Hotline [phone|800-555-0199] (24/7)",
+    "[phone|312-555-0164] is the desk",
+    "In 2019, 45 of 120 people paid 3.50 for 2 items.",
+    "Version 1.2.3 fixed 17 bugs in 2020-11-05.",
+    "pages 120-135, ISBN 978-3-16-148410-0",
+    "commit 9fceb02d0ae598e95dc970b74767f19372d61af8",
+    "The year 1984 and 2001 at 10:45, 1,000,000 views",
+    "SSN 078-05-1120 looks like one",
+    "total 12 345 678 units",
+    "order 20230405123 shipped",
+    "ratio 16:9, 1920x1080 px, 4k",
+    "temperature -12.5 to 30.25 degrees",
+    "lot 4455 6677 in hall 3",
+    "3.14159 26535 89793",
+    "tracking 1234567890123",
+]
+
+
+def test_recall_on_texts_written_by_hand():
+    model = pii.fit(pii.labelled_table())
+    right = missed = extra = 0
+    for marked in BY_HAND:
+        want, text = set(), ""
+        for kind, value, rest in re.findall(r"\[(\w+)\|([^\]]*)\]|([^\[]+)", marked):
+            if kind:
+                want.add((kind, len(text), len(text) + len(value)))
+            text += value or rest
+        got = {(pii.KINDS[k], a, b) for k, a, b, _ in pii.all_spans([text], model)[0]}
+        right, missed, extra = right + len(want & got), missed + len(want - got), extra + len(got - want)
+    assert right / (right + missed) >= 0.9 and right / (right + extra) >= 0.9
+
+
+def test_features_see_whole_words():
+    """Shapes, cues and contexts beyond 64, 16 and 32 characters."""
+    text = f"{'c' * 40}{' ' * 50}{'a1-' * 40}x 5{' ' * 60}{'d' * 30} z"
+    run = next(pii.chains(text))
+    first, last = pii.features(text, run)
+    assert f"cue={'c' * 40}" in first and f"cue2={'d' * 30}" in last and f"s={pii.shape('a1-' * 40 + 'x')}" in first
+    assert pii.shape("a1-" * 40) != pii.shape("a1-" * 39) and "cue=" in pii.features("7", next(pii.chains("7")))[0]
+
+
+def test_many_values_stay_fast():
+    import time
+
+    model = pii.fit(pii.labelled_table())
+    took = []
+    for n in (2000, 8000):
+        t = time.process_time()
+        assert len(pii.all_spans(["call 555-123-4567\n" * n], model)[0]) == n
+        took.append(time.process_time() - t)
+    assert took[1] < 8 * took[0] + 1

@@ -83,10 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- the sequence model ------------------------------------------------------------
 
 _SEED = re.compile(r"[0-9@]\S*")
-_WORD_BEFORE = re.compile(r"\S+\s*$")
 _EDGE_L, _EDGE_R = "\"'<[{,;:.!?*#$%&=`|/\\", "\"'>]},;:.!?*#$%&=`|/\\"
-#: Characters of context read on either side of a chain.
-CONTEXT = 32
 #: Words of a chain whose features are held at once; it is decoded as a whole.
 PART = 512
 
@@ -113,17 +110,28 @@ def shape(word: str) -> str:
 
 
 def _cue(word: str) -> str:
-    return word.lower().strip("".join(set(_EDGE_L + _EDGE_R)) + "()")[:16]
+    return word.lower().strip("".join(set(_EDGE_L + _EDGE_R)) + "()")
+
+
+def _word_before(text: str, at: int) -> str:
+    while at and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:at]
+
+
+_NEXT = re.compile(r"\s*(\S+)")
 
 
 def features(text: str, run: list[tuple[int, int]], lo: int = 0, hi: int | None = None) -> list[list[str]]:
     """The features of each word of a chain, or of its words from ``lo`` to before ``hi``."""
     hi = len(run) if hi is None else min(hi, len(run))
     bare = {i: text[slice(*run[i])].lstrip(_EDGE_L).rstrip(_EDGE_R) for i in range(max(0, lo - 1), min(len(run), hi + 1))}
-    shapes = {i: shape(w[:64]) for i, w in bare.items()}
-    before = _WORD_BEFORE.search(text[max(0, run[0][0] - CONTEXT) : run[0][0]])
-    after = text[run[-1][1] : run[-1][1] + CONTEXT].split(None, 1)
-    cue, cue2 = _cue(before[0].strip()) if before else "", _cue(after[0]) if after else ""
+    shapes = {i: shape(w) for i, w in bare.items()}
+    after = _NEXT.match(text, run[-1][1]) if hi == len(run) else None
+    cue, cue2 = _cue(_word_before(text, run[0][0])) if lo == 0 else "", _cue(after[1]) if after else ""
     rows = []
     for i in range(lo, hi):
         w, s = bare[i], shapes[i]
