@@ -38,11 +38,55 @@ def test_empty_table(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_member_ends_in_zero():
-    assert warc.member(b"a" * (1 << 24))[-1] == 0 and list(warc.members(warc.member(b"a" * (1 << 24)) * 2)) == [b"a" * (1 << 24)] * 2
+def test_one_member_a_record():
+    for n in (10, (1 << 24) - 1, 1 << 24, 3 << 24):
+        data = warc.member(b"a" * n)
+        assert list(warc.members(data * 2)) == [b"a" * n] * 2 and data.count(b"\x1f\x8b\x08") == 1 and bool(data[-1]) == (n >= 1 << 24)
     assert list(warc.members(gzip.compress(b"one") + gzip.compress(b"two"))) == [b"one", b"two"]
 
 
+def test_long_records(spark, tmp_path):
+    """Records of 16 MiB and more, alone and among others, as the last of an archive and not."""
+    long = 17 << 20
+    for name, sizes in (("alone", [long]), ("mixed", [5, long, 7, long + 1]), ("first", [long, 3])):
+        df = spark.createDataFrame([(i, "u", n) for i, n in enumerate(sizes)], "page_id long, url string, n int").selectExpr("page_id", "url", "repeat('x', n) html").coalesce(1)
+        warc.write(df, str(tmp_path / name))
+        assert {r.page_id: r.payload_bytes for r in warc.read(spark, str(tmp_path / name), payloads=False).collect()} == dict(enumerate(sizes))
+        for path in (tmp_path / name).glob("*.warc.gz"):
+            found = list(warc.members(path.read_bytes()))
+            assert all(x.startswith(b"WARC/1.0") for x in found) and len(found) in (len(sizes), len(sizes) + 1)
+            assert gzip.decompress(path.read_bytes()) == b"".join(found)
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    df = spark.range(60).selectExpr("id page_id", "'u' url", "sha2(cast(id as string), 512) html").coalesce(1)
+    warc.write(df, str(tmp_path / "b"), archive_bytes=3000)
+    sizes = [p.stat().st_size for p in (tmp_path / "b").glob("*.warc.gz")]
+    assert len(sizes) > 5 and max(sizes) < 4000 and warc.read(spark, str(tmp_path / "b")).count() == 60
+
+
+def _foreign(kind, content, block, *more):
+    head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", f"Content-Type: {content}", f"Content-Length: {len(block)}", *more]
+    return b"WARC/1.0\r\n" + "\r\n".join(head).encode("latin-1") + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_records():
+    http = "application/http; msgtype=response"
+    got = warc.parse(_foreign("response", http, b"HTTP/1.1 200 OK\r\nServer: caf\xe9\r\nContent-Length: 3\r\n\r\npayload", "WARC-Target-URI: http://x/\xe9", "WARC-Payload-Digest: sha256:abc", "WARC-Block-Digest: md5:1"))
+    assert got["payload"] == b"payload" and got["payload_bytes"] == 7 and got["payload_digest"] == warc.digest(b"payload") and got["url"] == "http://x/\xe9"
+    hexed = __import__("hashlib").sha1(b"payload").hexdigest()
+    for value in (f"sha1:{warc.digest(b'payload')}", f"sha1:{warc.digest(b'payload').lower()}", f"SHA1:{hexed}"):
+        assert warc.parse(_foreign("response", http, b"HTTP/1.0 200\nA: b\n\npayload", f"WARC-Payload-Digest: {value}"))["payload_digest"] == warc.digest(b"payload")
+    with pytest.raises(warc.WarcError):
+        warc.parse(_foreign("response", http, b"HTTP/1.0 200\r\n\r\npayload", f"WARC-Payload-Digest: sha1:{warc.digest(b'other')}"))
+    got = warc.parse(_foreign("request", "application/http; msgtype=request", b"GET / HTTP/1.1"))
+    assert got["payload"] == b"GET / HTTP/1.1" and got["record_type"] == "request"
+    assert warc.parse(_foreign("response", http, b"HTTP/1.1 204 No Content"))["payload"] == b""
+    for bad in (b"WARC/1.0\r\nContent-Length: x\r\n\r\n\r\n\r\n", b"WARC/1.0\r\nA: b\r\n\r\n\r\n\r\n"):
+        with pytest.raises(warc.WarcError):
+            warc.parse(bad)
+
+
 def test_damage_is_found():
     record = warc.record(5, "http://x/", b"payload", "response", None, "1970-01-01T00:00:00Z")
     assert warc.parse(record)["payload"] == b"payload"

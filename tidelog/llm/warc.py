@@ -1,11 +1,12 @@
 """WARC archives: one gzip member per record, written and read by Spark.
 
 Writing goes through Spark's own text writer, so it reaches any Hadoop file
-system and commits like every other Spark job.  That writer puts a separator
-after each row; every member ends in a zero byte (the top byte of its length
-field), so a row is the member without that byte and the separator is the
-byte.  Reading inflates each archive step by step, frames records by their
-Content-Length and checks both digests.
+system and commits like every other Spark job.  A row is a whole archive of
+bounded size without its last byte, which the writer puts back as the row's
+separator: a member ends in the top byte of its length field, which is zero
+below 16 MiB.  An archive whose last record is longer gets a short warcinfo
+record behind it.  Reading inflates each archive step by step, frames records
+by their Content-Length and checks the digests that it knows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import base64
 import hashlib
 import re
 import zlib
+from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import bounded_batches
 
 STEP = 1 << 16
-#: Records of one archive; with these a file stays small enough to be read as one row.
-ARCHIVE_RECORDS = 2_000
-_EMPTY = zlib.compress(b"", 6, wbits=31)
+#: Records, and compressed bytes but for the last record, of one archive; a file is read as one row.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 2_000, 16 << 20
+#: Record types of pages, the only ones that read() returns.
+PAGE_TYPES = ("response", "revisit", "resource", "conversion")
 FIELDS = "page_id bigint, url string, html string, record_type string, refers_to bigint"
 OUT = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
@@ -38,10 +41,16 @@ def digest(data: bytes) -> str:
 
 
 def member(record: bytes) -> bytes:
-    """One gzip member; its last byte is always zero."""
+    """One gzip member."""
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    out = packer.compress(record) + packer.flush()
-    return out if out[-1] == 0 else out + _EMPTY  # a length of 16 MiB or more
+    return packer.compress(record) + packer.flush()
+
+
+def info(date: str) -> bytes:
+    """A warcinfo record."""
+    block = b"software: tidelog\r\nformat: WARC File Format 1.0\r\n"
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:page:info>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
 def record_id(page_id: int | None) -> str:
@@ -85,31 +94,58 @@ def members(data: bytes | memoryview):
 
 
 def _headers(raw: bytes) -> dict[str, str]:
-    lines = raw.decode("utf-8").split("\r\n")[1:]
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        text = raw.decode("latin-1")
+    lines = re.split(r"\r?\n", re.sub(r"\r?\n[ \t]+", " ", text))[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
+def _checked(what: str, want: str | None, data: bytes) -> str | None:
+    """The base32 SHA-1 that a digest header names; None if there is none or it is of another kind."""
+    name, _, value = (want or "").rpartition(":")
+    if not value or name.lower() not in ("", "sha1"):
+        return None
+    if len(value) == 40:
+        value = base64.b32encode(bytes.fromhex(value)).decode() if re.fullmatch("[0-9a-fA-F]{40}", value) else value
+    if value.upper() != digest(data):
+        raise WarcError(f"wrong {what} digest")
+    return value.upper()
+
+
 def parse(raw: bytes) -> dict:
-    """One record; WarcError if its framing or a digest is wrong."""
+    """One record; WarcError if its framing or a digest is wrong.
+
+    Header bytes that are not UTF-8 are read as Latin-1.  SHA-1 digests, in
+    base32 or hex, are verified and others ignored.  The payload of an HTTP
+    response is what follows its head, whatever its own Content-Length says.
+    A revisit has no payload; its length and digest are those that it states.
+    """
     end = raw.find(b"\r\n\r\n")
     if not raw.startswith(b"WARC/") or end < 0:
         raise WarcError("no WARC header")
     head = _headers(raw[:end])
-    n = int(head.get("content-length", "-1"))
+    try:
+        n = int(head.get("content-length", ""))
+    except ValueError as e:
+        raise WarcError("no Content-Length") from e
     block = raw[end + 4 : end + 4 + n]
     if n < 0 or raw[end + 4 + n :] != b"\r\n\r\n":
         raise WarcError("the record does not have its Content-Length")
-    if (want := head.get("warc-block-digest")) and want != f"sha1:{digest(block)}":
-        raise WarcError("wrong block digest")
-    payload, length = block, n
-    if head.get("content-type", "").startswith("application/http"):
-        cut = block.find(b"\r\n\r\n")
-        length = int(_headers(block[:cut]).get("content-length", n - cut - 4))
-        payload = block[cut + 4 :]
-    kind = head.get("warc-type", "")
-    want = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind != "revisit" and want and (want != digest(payload) or len(payload) != length):
-        raise WarcError("wrong payload digest")
+    _checked("block", head.get("warc-block-digest"), block)
+    kind, http, payload = head.get("warc-type", ""), {}, block
+    if re.match(r"application/http\s*;.*msgtype\s*=\s*\"?response|application/http$", head.get("content-type", ""), re.I) and kind != "request":
+        cut = re.search(rb"\r?\n\r?\n", block)
+        http = _headers(block[: cut.start()] if cut else block)
+        payload = block[cut.end() :] if cut else b""
+    stated = head.get("warc-payload-digest")
+    if kind == "revisit":
+        length = int(x) if (x := http.get("content-length", "")).isdigit() else len(payload)
+        found = (stated or "").rpartition(":")[2] or None
+    else:
+        length = len(payload)
+        found = _checked("payload", stated, payload) or digest(payload)
     uri = head.get("warc-target-uri")
     number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None
     return {
@@ -118,16 +154,29 @@ def parse(raw: bytes) -> dict:
         "record_type": kind,
         "refers_to": number(head.get("warc-refers-to")),
         "payload_bytes": length,
-        "payload_digest": want or digest(payload),
+        "payload_digest": found,
         "payload": None if kind == "revisit" else payload,
     }
 
 
-def _pack(date: str):
+def _pack(date: str, most_records: int, most_bytes: int):
+    def archive(held: list[bytes]):
+        if held[-1][-1]:  # a record of 16 MiB or more
+            held.append(member(info(date)))
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["archive"])
+
     def run(batches):
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            rows = (record(p, u, (h or "").encode(), t, r, date) for p, u, h, t, r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([member(x)[:-1] for x in rows], pa.binary())], names=["member"])
+            for p, u, h, t, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(member(record(p, u, (h or "").encode(), t, r, date)))
+                size += len(held[-1])
+                if len(held) >= most_records or size >= most_bytes:
+                    yield archive(held)
+                    held, size = [], 0
+        if held:
+            yield archive(held)
 
     return run
 
@@ -141,7 +190,10 @@ def _unpack(payloads: bool):
             for content in batch.column("content"):
                 rows, size = [], 0
                 for raw in members(content.as_buffer()):
-                    rows.append(parse(raw))
+                    row = parse(raw)
+                    if row["record_type"] not in PAGE_TYPES:
+                        continue
+                    rows.append(row)
                     size += len(raw) if payloads else 1000
                     if size > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[n]) for n in names], names=names)
@@ -171,26 +223,27 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, salts: int = 16) -> Dat
     )
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_records: int = ARCHIVE_RECORDS) -> None:
+def write(
+    pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_records: int = ARCHIVE_RECORDS, archive_bytes: int = ARCHIVE_BYTES
+) -> None:
     """Write every page as a record of the ``*.warc.gz`` archives below ``path``.
 
     A null html is an empty payload, a null url has no target header.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
-    packed = plan_records(pages, least_bytes).mapInArrow(_pack(date), "member binary")
-    packed.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", archive_records).text(path)
+    packed = plan_records(pages, least_bytes).mapInArrow(_pack(date, archive_records, archive_bytes), "archive binary")
+    packed.select(F.col("archive").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("part-") and name.endswith(".txt"):
-            fs.rename(status.getPath(), hadoop.Path(root, name[:-4] + ".warc.gz"))
+    parts = [n for n in (s.getPath().getName() for s in fs.listStatus(root)) if n.startswith("part-") and n.endswith(".txt")]
+    with ThreadPool(16) as pool:
+        pool.map(lambda n: fs.rename(hadoop.Path(root, n), hadoop.Path(root, n[:-4] + ".warc.gz")), parts)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row per record: page_id, url, record_type, refers_to, payload_bytes,
+    """One row per record of a page: page_id, url, record_type, refers_to, payload_bytes,
     payload_digest and, if ``payloads``, the payload (null for revisits).
 
     Length and digest are those of the full payload, for revisits as well.
