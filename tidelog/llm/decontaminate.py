@@ -3,9 +3,11 @@
 A seed hashes the words of a window at the positions that a fixed mask keeps,
 so words at the ignored positions may differ.  The masks together miss nothing
 that the rule admits.  Seeds of the training texts meet those of the test items
-in a hash join inside each task, behind a small bitmap; the words of every
-diagonal that is hit are counted, and on those with enough equal ones the
-longest gapless stretch of the item that is mostly equal must be long enough.
+in a hash join inside each task, behind a small bitmap; of hits that follow each
+other on a diagonal only the first is made, so repeated words cost no more than
+others.  The words of every diagonal that is hit are counted, and on those with
+enough equal ones the longest gapless stretch of the item that is mostly equal
+must be long enough.  Texts are worked on in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ LEAST_WORDS = 12
 LEAST_EQUAL = 75
 #: Items with fewer words than this need all their words equal ...
 EDITED_ITEM = 10
-#: ... and with fewer than this are no evidence and match nothing.
+#: ... and with fewer than this are no evidence, unless the caller says otherwise.
 SHORTEST_ITEM = 5
-#: Seed hits, and words of their diagonals, that are worked on at once.
-HITS_AT_ONCE, WORDS_AT_ONCE = 1 << 19, 1 << 21
+#: Words of the texts, seed hits, and words of their diagonals that are worked on at once.
+TEXT_WORDS, HITS_AT_ONCE, WORDS_AT_ONCE = 1 << 17, 1 << 18, 1 << 20
 #: Words of the items that are broadcast at once.
 BLOCK_WORDS = 250_000
 BITMAP_BITS = 23
@@ -41,28 +43,40 @@ BITMAP_BITS = 23
 
 @dataclass
 class Items:
-    """Word hashes of some items and the index of their seeds."""
+    """Word hashes of some items and the index of their seeds.
+
+    Postings are sorted by (seed, the seed one word before), so that those
+    which only follow another hit on the same diagonal are one range.
+    """
 
     ids: list[int]
     words: list[np.ndarray]
+    shortest: int = SHORTEST_ITEM
 
     def __post_init__(self):
-        seeds, item, place = [], [], []
+        seeds, item, place, before = [], [], [], []
         for i, w in enumerate(self.words):
-            if len(w) >= SHORTEST_ITEM:
+            if len(w) >= max(1, self.shortest):
                 for s in [masked(w, m) for m in range(len(MASKS))] if len(w) >= EDITED_ITEM else [short_seeds(w, len(w))]:
                     seeds.append(s)
                     item.append(np.full(len(s), i))
                     place.append(np.arange(len(s)))
-        self.lengths = sorted({len(w) for w in self.words if SHORTEST_ITEM <= len(w) < EDITED_ITEM})
+                    before.append(np.r_[np.zeros(min(1, len(s)), np.uint64), s[:-1]])
+        self.lengths = sorted({len(w) for w in self.words if max(1, self.shortest) <= len(w) < EDITED_ITEM})
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
         self.seeds = np.concatenate([np.zeros(0, np.uint64), *seeds])
-        order = np.argsort(self.seeds, kind="stable")
-        self.seeds = self.seeds[order]
+        before = np.concatenate([np.zeros(0, np.uint64), *before])
+        order = np.lexsort((before, self.seeds))
+        self.seeds, before = self.seeds[order], before[order]
         self.item = np.concatenate([np.zeros(0, np.int64), *item])[order]
         self.place = np.concatenate([np.zeros(0, np.int64), *place])[order]
+        both = tk.mix(self.seeds + tk.LANES[50] * before)
+        start = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+        end = np.r_[start[1:], len(both)][: len(start)]
+        by = np.argsort(both[start], kind="stable")
+        self.pair, self.pair_start, self.pair_end = both[start][by], start[by], end[by]
         self._mark()
 
     def _mark(self):
@@ -78,14 +92,26 @@ class Items:
         self._mark()
 
     def hits(self, seeds: np.ndarray):
-        """(position in seeds, item, place in the item) of every equal seed, in blocks."""
+        """(position in seeds, item, place in the item) of equal seeds, in blocks.
+
+        Left out are hits that the position before has on the same diagonal;
+        a seed of zero stands for a window that reaches into another text.
+        """
         at = np.flatnonzero(self.bitmap[seeds >> np.uint64(64 - BITMAP_BITS)])
         lo, hi = np.searchsorted(self.seeds, seeds[at], "left"), np.searchsorted(self.seeds, seeds[at], "right")
-        n = hi - lo
+        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+        if not len(at):
+            return
+        before = np.where(at > 0, seeds[at - 1], np.uint64(0))
+        both = tk.mix(seeds[at] + tk.LANES[50] * before)
+        p = np.minimum(np.searchsorted(self.pair, both), len(self.pair) - 1)
+        follows = (self.pair[p] == both) & (before != 0)
+        a, b = np.where(follows, self.pair_start[p], hi), np.where(follows, self.pair_end[p], hi)
+        at, lo, n = np.r_[at, at], np.r_[lo, b], np.r_[a - lo, hi - b]
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        for a, b in blocks(n, HITS_AT_ONCE):
-            pick = ragged_range(lo[a:b], n[a:b])
-            yield np.repeat(at[a:b], n[a:b]), self.item[pick], self.place[pick]
+        for x, y in blocks(n, HITS_AT_ONCE):
+            pick = ragged_range(lo[x:y], n[x:y])
+            yield np.repeat(at[x:y], n[x:y]), self.item[pick], self.place[pick]
 
 
 def masked(h: np.ndarray, m: int) -> np.ndarray:
@@ -149,8 +175,8 @@ def _word_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, first
 
 
-def _likely(items: Items, h: np.ndarray, first: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether the whole diagonal has as many equal words as verified() asks for at least."""
+def _equal_words(items: Items, h: np.ndarray, first: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Equal words of every whole diagonal; no stretch of it can have more."""
     lo, hi = np.maximum(0, -start), np.minimum(items.sizes[item], first[doc + 1] - first[doc] - start)
     n = hi - lo
     enough = np.zeros(len(doc), np.int64)
@@ -158,7 +184,40 @@ def _likely(items: Items, h: np.ndarray, first: np.ndarray, doc: np.ndarray, ite
         text = ragged_range((first[doc] + start + lo)[a:b], n[a:b])
         equal = h[text] == items.flat[ragged_range((items.first[item] + lo)[a:b], n[a:b])]
         enough[a:b] = np.add.reduceat(equal.astype(np.int64), np.cumsum(n[a:b]) - n[a:b])
-    return 100 * enough >= LEAST_EQUAL * np.minimum(LEAST_WORDS, items.sizes[item])
+    return enough
+
+
+def contained(items: Items, h: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], int]:
+    """Of (text, item): the most equal words of the item on a diagonal that fits the rule.
+
+    ``h`` has the word hashes of all texts, those of text d from ``first[d]``
+    to before ``first[d + 1]``.
+    """
+    best: dict[tuple[int, int], int] = {}
+    most_words = int(items.sizes.max(initial=0))
+    span = int(np.diff(first).max(initial=0)) + most_words + 1
+    inner = np.zeros(len(h), dtype=bool)
+    for m, k in [*enumerate(map(len, MASKS)), *((None, k) for k in items.lengths)]:
+        seeds = short_seeds(h, k) if m is None else masked(h, m)
+        if not len(seeds):
+            continue
+        inner[:] = True  # windows that lie within one text
+        for j in range(1, k):
+            inner[np.maximum(first[1:] - j, 0)] = False
+        for at, item, place in items.hits(np.where(inner[: len(seeds)], seeds, np.uint64(0))):
+            doc = np.searchsorted(first, at, "right") - 1
+            start = at - first[doc] - place
+            key = np.unique((doc * len(items.ids) + item) * span + start + most_words)
+            pair, start = key // span, key % span - most_words
+            doc, item = pair // len(items.ids), pair % len(items.ids)
+            enough = _equal_words(items, h, first, doc, item, start)
+            likely = 100 * enough >= LEAST_EQUAL * np.minimum(LEAST_WORDS, items.sizes[item])
+            doc, item, start, enough = doc[likely], item[likely], start[likely], enough[likely]
+            order = np.argsort(-enough, kind="stable")
+            for d, i, s, n in zip(doc[order].tolist(), item[order].tolist(), start[order].tolist(), enough[order].tolist(), strict=True):
+                if n > best.get((d, i), 0) and (n := verified(h[first[d] : first[d + 1]], items.words[i], s)):
+                    best[d, i] = max(n, best.get((d, i), 0))
+    return best
 
 
 def _scan(sent):
@@ -166,21 +225,10 @@ def _scan(sent):
         items = sent.value
         for batch in batches:
             h, first = _word_lists(batch.column("text"))
-            best: dict[tuple[int, int], int] = {}
-            for m, k in [*enumerate(map(len, MASKS)), *((None, k) for k in items.lengths)]:
-                for at, item, place in items.hits(short_seeds(h, k) if m is None else masked(h, m)):
-                    doc = np.searchsorted(first, at, "right") - 1
-                    inside = at + k <= first[doc + 1]
-                    start = at - first[doc] - place
-                    tried = np.unique(np.stack([doc, item, start], axis=1)[inside], axis=0)
-                    tried = tried[_likely(items, h, first, *tried.T)]
-                    for d, i, s in tried.tolist():
-                        n = verified(h[first[d] : first[d + 1]], items.words[i], s)
-                        if n:
-                            best[d, i] = max(n, best.get((d, i), 0))
             found: dict[int, list[tuple[int, int]]] = {}
-            for (d, i), n in best.items():
-                found.setdefault(d, []).append((items.ids[i], n))
+            for a, b in blocks(np.diff(first), TEXT_WORDS):
+                for (d, i), n in contained(items, h[first[a] : first[b]], first[a : b + 1] - first[a]).items():
+                    found.setdefault(a + d, []).append((items.ids[i], n))
             rows = [[{"item_id": i, "words": n} for i, n in sorted(found.get(d, ()))] for d in range(batch.num_rows)]
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "hits"])
@@ -188,15 +236,17 @@ def _scan(sent):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False, shortest: int = SHORTEST_ITEM) -> DataFrame:
     """(doc_id, text, hits), with ``carry`` also the other columns as ``row``: for every row the items it contains.
 
     ``hits`` lists (item_id, equal words) by item_id.  Words are runs of
     ASCII letters and digits and of all other non-ASCII characters, A-Z
-    lower-cased.  Null and empty texts, and items of fewer than SHORTEST_ITEM
-    words, match nothing; items with a null id are ignored; repeated rows
-    stay, repeated items are listed as often.  The items are taken in blocks
-    of bounded size, each broadcast against all rows.
+    lower-cased.  Null and empty texts, and items of fewer than ``shortest``
+    words, match nothing (with ``shortest=1`` every item that has a word
+    counts; items of fewer than EDITED_ITEM words must be wholly equal).
+    Items with a null id are ignored; repeated rows stay, repeated items are
+    listed as often.  The items are taken in blocks of bounded size, each
+    broadcast against all rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -208,7 +258,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == b).orderBy("doc_id", "text").toArrow()
         h, first = _word_lists(part.column("text"))
-        sent = spark.sparkContext.broadcast(Items(part.column("doc_id").to_pylist(), [h[a:z] for a, z in zip(first[:-1], first[1:], strict=True)]))
+        sent = spark.sparkContext.broadcast(Items(part.column("doc_id").to_pylist(), [h[a:z] for a, z in zip(first[:-1], first[1:], strict=True)], shortest))
         out = out.withColumnRenamed("hits", f"hits{b}") if b else out
         out = out.mapInArrow(_scan(sent), f"{ddl(out, *out.columns)}, hits {kind}")
     every = F.concat(*[F.col(f"hits{b}") for b in range(1, blocks)], F.col("hits"))
