@@ -1,9 +1,13 @@
 """License scans: winnowed fingerprints pick candidates, alignment decides.
 
 Hashes of three words in a row are winnowed (the least of every two
-neighbours is kept), for the templates and for the texts.  Equal fingerprints
-propose a template at a place, and a banded local alignment of the template's
-words with the words there reports how much of it matches, and where.
+neighbours is kept), for the templates and for the texts; templates of fewer
+than SHORT words keep the hashes of all pairs of words, as fewer of their words
+can be in a row.  With that every text that has LEAST_COVERAGE percent of a
+template, word for word, shares a fingerprint with it.  Equal fingerprints
+propose a template at a place, neighbouring proposals are one, and a banded
+local alignment of the template's words with the words there reports how much
+of it matches, and where.
 """
 
 from __future__ import annotations
@@ -18,6 +22,10 @@ from tidelog.llm.common import bounded_batches, texts
 
 #: Words of a fingerprint, and neighbours of which the least is kept.
 GRAM, WINNOW = 3, 2
+#: Templates of fewer words have fingerprints of two words, not winnowed.
+SHORT, PAIR = 16, 2
+#: Score of an equal word in an alignment.
+EQUAL = 1 << 20
 #: Matched words of a template, in percent, that make a match.
 LEAST_COVERAGE = 80
 
@@ -38,6 +46,60 @@ TEMPLATES = {
     ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies."
+    ),
+    "Zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    ),
+    "BSL-1.0-text": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") "
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is "
+        "furnished to do so, all subject to the following:"
+    ),
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+        "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/."
+    ),
+    "GPL-2.0-or-later-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version."
+    ),
+    "GPL-3.0-or-later-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-or-later-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1-or-later-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "MIT-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+        "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause-names": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
 }
 
@@ -65,48 +127,99 @@ def winnow(g: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Inverted index of the templates' winnowed fingerprints."""
+    """Inverted indexes of the templates' fingerprints, by the words of a fingerprint."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         _, _, h, _, _, first = _words(pa.array([templates[n] for n in self.names], pa.string()))
         self.words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        rows = []
-        for i, w in enumerate(self.words):
-            g = tk.grams(w, GRAM)
-            rows += [(int(g[p]), i, int(p)) for p in np.flatnonzero(winnow(g))]
-        rows.sort()
-        self.gram = np.array([r[0] for r in rows], dtype=np.uint64)
-        self.template = np.array([r[1] for r in rows], dtype=np.int64)
-        self.place = np.array([r[2] for r in rows], dtype=np.int64)
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.band = np.maximum(2, self.sizes // 8)
+        self.lists = {}
+        for size in (PAIR, GRAM):
+            rows = []
+            for i, w in enumerate(self.words):
+                if (len(w) < SHORT) == (size == PAIR):
+                    g = tk.grams(w, size)
+                    rows += [(int(g[p]), i, int(p)) for p in (range(len(g)) if size == PAIR else np.flatnonzero(winnow(g)))]
+            rows.sort()
+            self.lists[size] = tuple(np.array([r[j] for r in rows], dtype=kind) for j, kind in enumerate((np.uint64, np.int64, np.int64)))
+
+    def proposals(self, h: np.ndarray, first: np.ndarray):
+        """(text, template, starts): runs of neighbouring starts, in words of the text, by text and template."""
+        found = []
+        for size, (gram, template, place) in self.lists.items():
+            g = tk.grams(h, size)
+            lo, hi = np.searchsorted(gram, g, "left"), np.searchsorted(gram, g, "right")
+            pos = np.flatnonzero(hi > lo)
+            doc = np.searchsorted(first, pos, "right") - 1
+            inside = pos + size <= first[doc + 1]
+            pos, doc = pos[inside], doc[inside]
+            if size == GRAM:  # those of the templates are few, so membership comes before winnowing
+                kept = [_kept(g, p, first[d], first[d + 1] - size + 1) for p, d in zip(pos.tolist(), doc.tolist(), strict=True)]
+                pos, doc = pos[kept], doc[kept]
+            n = hi[pos] - lo[pos]
+            pick = np.repeat(lo[pos] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found.append(np.stack([np.repeat(doc, n), template[pick], np.repeat(pos - first[doc], n) - place[pick]], axis=1))
+        rows = np.unique(np.concatenate(found), axis=0)
+        if not len(rows):
+            return
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] - rows[:-1, 2] > self.band[rows[1:, 1]])
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
+            yield int(rows[a, 0]), int(rows[a, 1]), rows[a:b, 2]
+
+    def matches(self, text: np.ndarray, t: int, starts: np.ndarray):
+        """(equal words, first, end) of the template's matches near some starts."""
+        w, band = self.words[t], int(self.band[t])
+        known, least = np.unique(w), LEAST_COVERAGE * len(w)
+        todo = [starts]
+        while todo:
+            run = todo.pop()
+            if run[-1] - run[0] > 8 * band:  # long runs of repeated words are taken in parts
+                half = len(run) // 2
+                todo += [run[half:], run[:half]]
+                continue
+            lo, hi = max(0, run[0] - band), min(len(text), run[-1] + len(w) + band)
+            if 100 * np.isin(text[lo:hi], known).sum() < least:
+                continue
+            n, a, b = align(w, text, int(run[0] + run[-1]) // 2, band + int(run[-1] - run[0] + 1) // 2)
+            if 100 * n >= least:
+                yield n, a, b
+                todo += [r for r in (run[run >= b - len(w) // 5], run[run + len(w) <= a + len(w) // 5]) if len(r) and len(r) < len(run)]
 
 
 def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tuple[int, int, int]:
     """Banded local alignment: (equal words, first, end) of the text's words.
 
-    The band holds the diagonals within ``band`` of ``start``.  Equal words
-    score 2, substitutions and gaps -1.
+    The band holds the diagonals within ``band`` of ``start``.  Substitutions
+    and gaps cost one each and equal words outweigh any number of them, so no
+    alignment in the band has more equal words.
     """
     width = 2 * band + 1
     score = np.zeros(width + 2)
     equal = np.zeros(width + 2, dtype=np.int64)
     begin = np.zeros(width + 2, dtype=np.int64)
     best = (0.0, 0, 0, 0)
+    lane = np.arange(width)
     for i, w in enumerate(template):
-        cols = start - band + i + np.arange(width)
+        cols = start - band + i + lane
         real = (cols >= 0) & (cols < len(text))
         same = np.zeros(width, dtype=bool)
         same[real] = text[cols[real]] == w
-        diag = score[1:-1] + np.where(same, 2, -1)
+        diag = score[1:-1] + np.where(same, EQUAL, -1)
         skip = score[2:] - 1  # a template word without partner
         new, eq, bg = diag, equal[1:-1] + same, np.where(score[1:-1] > 0, begin[1:-1], cols)
         use = skip > new
         new, eq, bg = np.where(use, skip, new), np.where(use, equal[2:], eq), np.where(use, begin[2:], bg)
         new = np.where(real, new, 0.0)
-        for c in range(1, width):  # a text word without partner
-            if new[c - 1] - 1 > new[c]:
-                new[c], eq[c], bg[c] = new[c - 1] - 1, eq[c - 1], bg[c - 1]
-        dead = new <= 0
+        # Text words without partner cost one each: the last of the best places before every one.
+        level = new + lane
+        top = np.maximum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level >= top, lane, 0))
+        new, eq, bg = top - lane, eq[source], bg[source]
+        dead = (new <= 0) | ~real
         new[dead], eq[dead] = 0.0, 0
         c = int(np.argmax(new))
         if new[c] > best[0]:
@@ -115,36 +228,35 @@ def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tupl
     return best[1:]
 
 
+def _code_points(data: np.ndarray, places: list[int]) -> dict[int, int]:
+    """Code points before each of some bytes of a text, counted in one pass."""
+    out, at, n = {}, 0, 0
+    for p in sorted(set(places)):
+        n += int(np.count_nonzero((data[at:p] & 0xC0) != 0x80))
+        out[p], at = n, p
+    return out
+
+
 def _scan(templates: dict[str, str]):
     def run(batches):
         index = Index(templates)
         for batch in batches:
             data, at, h, place, stop, first = _words(batch.column("text"))
-            g = tk.grams(h, GRAM)
-            # A fingerprint of a text is the least of some neighbours; those of
-            # the templates that are looked up are few, so membership comes first.
-            lo, hi = np.searchsorted(index.gram, g, "left"), np.searchsorted(index.gram, g, "right")
-            pos = np.flatnonzero(hi > lo)
-            doc = np.searchsorted(first, pos, "right") - 1
-            proposals: dict[tuple[int, int], set[int]] = {}
-            for p, d in zip(pos.tolist(), doc.tolist(), strict=True):
-                if p + GRAM <= first[d + 1] and _kept(g, p, first[d], first[d + 1] - GRAM + 1):
-                    for r in range(lo[p], hi[p]):
-                        proposals.setdefault((d, int(index.template[r])), set()).add(int(p - first[d] - index.place[r]))
+            found: dict[int, list[tuple[int, int, int, int]]] = {}
+            for d, t, starts in index.proposals(h, first):
+                for n, a, b in index.matches(h[first[d] : first[d + 1]], t, starts):
+                    found.setdefault(d, []).append((t, a, b, n))
             rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for (d, t), starts in sorted(proposals.items()):
-                own, w = h[first[d] : first[d + 1]], index.words[t]
-                band, last_end = max(2, len(w) // 8), -1
-                for s in sorted(starts):
-                    n, a, b = align(w, own, s, band)
-                    if 100 * n < LEAST_COVERAGE * len(w) or a < last_end:
+            for d, own in found.items():
+                spans, last = [], (None, 0)
+                for t, a, b, n in sorted(own, key=lambda m: (m[0], m[1], -m[3])):
+                    if last[0] == t and a < last[1]:
                         continue
-                    last_end = b
-                    byte = (int(place[first[d] + a]), int(stop[first[d] + b - 1]))
-                    x, y = (int(np.count_nonzero((data[at[d] : z] & 0xC0) != 0x80)) for z in byte)
-                    rows[d].append({"license": index.names[t], "coverage": round(n / len(w), 6), "start": x, "end": y})
-            for r in rows:
-                r.sort(key=lambda m: (m["start"], m["license"]))
+                    last = (t, b)
+                    spans.append((t, n, int(place[first[d] + a] - at[d]), int(stop[first[d] + b - 1] - at[d])))
+                points = _code_points(data[at[d] : at[d + 1]], [x for s in spans for x in s[2:]])
+                rows[d] = [{"license": index.names[t], "coverage": round(n / len(index.words[t]), 6), "start": points[x], "end": points[y]} for t, n, x, y in spans]
+                rows[d].sort(key=lambda m: (m["start"], m["license"]))
             kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "matches"])
 
@@ -163,7 +275,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     ``matches`` lists (license, coverage, start, end) by start: the share of
     the template's words that match and the span in code points.  Words are
     compared without case and punctuation.  Null and empty texts, and
-    templates of fewer than three words, match nothing; repeated rows and
+    templates of fewer than two words, match nothing; repeated rows and
     null ids stay; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
