@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 END, HEAD = "</turn>", "### "
+#: Turns whose lengths are added one by one.
+BLOCK = 128
 _ENDED, _HEADED = "<\\e/turn>", "#\\h## "
 
 
@@ -76,16 +78,32 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         )
     )
     out = heads.select("conv_id", formatted.alias("formatted"), runs.alias("runs"))
-    spans = F.aggregate(
-        "runs",
-        F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int>>))"),
-        lambda acc, r: F.struct(
-            (acc["at"] + r["skip"] + r["n"] + len(END) + 1).alias("at"),
-            F.when(r["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + r["skip"]).alias("start"), r["n"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return out.select("conv_id", "formatted", spans.alias("loss"))
+    return out.select("conv_id", "formatted", _spans(F.col("runs")).alias("loss"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often a nested lambda uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda acc, n: acc + n)
+
+
+def _spans(runs: Column) -> Column:
+    """(start, length) of the texts under the loss; sums of blocks keep the cost near linear in the turns."""
+
+    def place(lengths, starts):
+        at = lambda i: F.get(starts, F.floor(i / BLOCK).cast("int")) + _sum(F.slice(lengths, i - i % BLOCK + 1, i % BLOCK))
+        spans = F.transform(runs, lambda r, i: F.when(r["loss"], F.struct((at(i) + r["skip"]).alias("start"), r["n"].alias("length"))))
+        return F.array_compact(spans)
+
+    def blocks(lengths):
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda c: _sum(F.slice(lengths, c * BLOCK + 1, F.lit(BLOCK))))
+        starts = lambda s: F.transform(s, lambda _, c: _sum(F.slice(s, F.lit(1), c)))
+        return _let(sums, lambda s: _let(starts(s), lambda t: place(lengths, t)))
+
+    return _let(F.transform(runs, lambda r: r["skip"] + r["n"] + (len(END) + 1)), blocks)
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """URL filter lists by hashed host-suffix and path-prefix expressions.
 
-Each url is expanded to the expressions of the shapes that the rules have
-(labels of the host, characters of the path).  Expressions meet rules in an
-equi-join on a short prefix of their SHA-256; the whole digest confirms, and
-the longest rule decides.  Spark expressions only.
+Each url is expanded to the suffixes of its host, as far as rules have that
+many labels, with the prefixes of its path that end in a slash or are as long
+as a rule's path that does not.  Expressions meet rules in an equi-join on a
+short prefix of their SHA-256; the whole digest confirms, and the longest rule
+decides.  Spark expressions only, and nothing is gathered in the driver.
 """
 
 from __future__ import annotations
@@ -38,17 +39,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     """
     rules = rules.select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "action").where("rule_host <> '' and rule_path is not null and action is not null")
     rules = rules.select("*", F.sha2(F.concat_ws("\n", "rule_host", "rule_path"), 256).alias("digest"), F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("chars"))
-    # Rules may be many, but their shapes are few: label counts times path lengths.
-    shapes = [(r.labels, r.chars) for r in rules.select("labels", "chars").distinct().orderBy("labels", "chars").collect()]
+    # One row: label counts, and the lengths of paths that do not end in a slash.
+    shapes = rules.agg(F.collect_set("labels").alias("counts"), F.collect_set(F.when(~F.col("rule_path").endswith("/"), F.col("chars"))).alias("lengths"))
     url = F.col(url_col).cast("string")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     labels = F.split("host", r"\.")
-    keys = [
-        F.when((F.size(labels) >= n) & (F.length("path") >= c), F.sha2(F.concat_ws("\n", F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), "."), F.substring("path", 1, c)), 256))
-        for n, c in shapes
-    ]
-    keys = F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
-    asked = rows.select("*", F.explode_outer(keys).alias("asked")).withColumn("short", F.substring("asked", 1, PREFIX))
+    suffixes = F.transform(F.filter("counts", lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    slashes = F.size(F.split("path", "/")) - 1
+    prefixes = F.concat(
+        F.transform(F.filter(F.sequence(F.lit(0), slashes), lambda k: k > 0), lambda k: F.concat(F.call_function("substring_index", F.col("path"), F.lit("/"), k), F.lit("/"))),
+        F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n)),
+    )
+    keys = F.flatten(F.transform(suffixes, lambda h: F.transform(F.array_distinct(F.col("prefixes")), lambda p: F.sha2(F.concat_ws("\n", h, p), 256))))
+    rows = rows.join(F.broadcast(shapes)).withColumn("prefixes", prefixes)
+    asked = rows.select("row", "page_id", "host", "path", F.explode_outer(keys).alias("asked")).withColumn("short", F.substring("asked", 1, PREFIX))
     listed = rules.withColumn("short", F.substring("digest", 1, PREFIX)).drop("labels", "chars")
     found = asked.join(listed, "short", "left")
     rank = F.struct(
