@@ -1,7 +1,9 @@
 """Chat formatting, URL filters, top-k search, licenses, decontamination, quality."""
 
 import itertools
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,25 @@ def test_url_filter_against_brute_force(spark):
 # --- top-k -------------------------------------------------------------------------------
 
 
+def test_top_k_of_large_components(spark):
+    """Exact for every finite vector, and empty ones, against Python integers."""
+    rng = random.Random(4)
+    values = [0.0, 1.0, -1.0, 1.5, 2.0**52, -(2.0**53), 1e16, -1e16, 3e18, 1e19, -1e19, 1e200, -1e200, 1.7e308, -1.7e308, 1e-300, -1e-300]
+    vectors = [(i, [rng.choice(values[: rng.choice([4, 9, 17])]) for _ in range(3)]) for i in range(60)] + [(60, []), (61, []), (62, [1.0]), (63, None), (64, [None, 1.0, 1.0]), (65, [float("inf"), 1.0, 1.0]), (66, [float("nan"), 0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    whole = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in vectors[:63]}
+    want = {}
+    for q, v in whole.items():
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in whole.items() if i != q and len(w) == len(v))
+        want[q] = [(i, -s) for s, i in scores[:7]]
+    got = {}
+    for r in topk.top_k(df, df, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {q: v for q, v in want.items() if v} and 60 in got and 62 not in got
+    small = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1e16, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(small, small.where("vec_id = 0"), 10).orderBy("rank").collect()] == [(0, 1, 1, (1 << 63) - 1), (0, 2, 2, 3 << 20)]
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e7, 1e15])
 def test_top_k_against_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 7)
@@ -99,6 +120,64 @@ def test_license_scan(spark):
     assert licenses.scan(spark.createDataFrame([], df.schema)).collect() == []
 
 
+def _best_windows(text, template, percent=80):
+    """(start, equal words) of every place where so many words of the template stand at their place."""
+    out = []
+    for a in range(1 - len(template), len(text)):
+        n = sum(0 <= a + i < len(text) and text[a + i] == w for i, w in enumerate(template))
+        if 100 * n >= percent * len(template):
+            out.append((a, n))
+    return out
+
+
+def test_licenses_against_every_window(spark):
+    """Each place that has 80 % of a template word for word is in a match of no less coverage; each match has its coverage."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(40)]
+    templates = {f"t{n}": " ".join(rng.choices(vocab, k=n)) for n in (2, 4, 5, 6, 9, 11, 15, 16, 17, 24, 60)}
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += rng.choices(vocab, k=rng.randint(0, 30))
+            t = rng.choice(list(templates.values())).split()
+            for i in rng.sample(range(len(t)), len(t) // 5):
+                t[i] = rng.choice(vocab)
+            words += t
+        texts.append(words)
+    df = spark.createDataFrame([(i, ", ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.matches for r in licenses.scan(df, templates).collect()}
+    seen = 0
+    for i, words in enumerate(texts):
+        at, places = 0, {}
+        for k, w in enumerate(words):
+            places[at] = k
+            at += len(w) + 2
+        spans = {}
+        for m in got[i]:
+            a, n = places[m.start], len(", ".join(words)[m.start : m.end].split(", "))
+            spans.setdefault(m.license, []).append((a, a + n, m.coverage))
+            t = templates[m.license].split()
+            table = [[0] * (n + 1) for _ in range(len(t) + 1)]  # the longest common subsequence
+            for x, u in enumerate(t):
+                for y in range(n):
+                    table[x + 1][y + 1] = table[x][y] + 1 if u == words[a + y] else max(table[x][y + 1], table[x + 1][y])
+            assert 0.8 <= m.coverage <= table[-1][-1] / len(t) + 1e-6
+        for name, t in templates.items():
+            t = t.split()
+            for a, n in _best_windows(words, t):
+                seen += 1
+                assert any(x < a + len(t) and a < y for x, y, _ in spans.get(name, [])), (i, name, a, n)
+    assert seen > 300
+
+
+def test_a_license_repeated_many_times(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    df = spark.createDataFrame([(1, f"é {mit} " * 500), (2, "the license " * 20_000), (3, "Released under an MIT License")], "doc_id long, text string")
+    got = {r.doc_id: [(m.license, m.start) for m in r.matches] for r in licenses.scan(df).collect()}
+    assert got[1] == [("MIT", 2 + i * (len(mit) + 3)) for i in range(500)] and got[2] == [] and [m[0] for m in got[3]] == ["MIT"]
+
+
 def test_winnow_guarantee():
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 50):
@@ -194,6 +273,47 @@ def test_every_edit_within_the_rule_is_found(spark, monkeypatch):
     assert [2 * i in got[i] for i in range(8)] == [True] * 7 + [False]
 
 
+def test_random_passages_against_all_diagonals(spark):
+    """Small vocabularies, so that texts and items repeat their words, short items included."""
+    rng = random.Random(14)
+    for vocab, shortest in ((2, 5), (6, 1), (40, 5)):
+        word = lambda n: [f"w{rng.randrange(vocab)}" for _ in range(n)]  # noqa: B023, E731
+        items = [word(n) for n in (1, 3, 5, 7, 9, 10, 13, 20, 33)]
+        texts = []
+        for _ in range(40):
+            part = list(rng.choice(items))
+            for i in rng.sample(range(len(part)), len(part) // 4):
+                part[i] = word(1)[0]
+            texts.append(word(rng.randint(0, 12)) + part[rng.randint(0, 3) :] + word(rng.randint(0, 12)))
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+        bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+        got = {r.doc_id: {h.item_id: h.words for h in r.hits} for r in decontaminate.find(docs, bench, shortest=shortest).collect()}
+        for i, t in enumerate(texts):
+            want = {}
+            for j, w in enumerate(items):
+                if len(w) < shortest:
+                    continue
+                n = longest_equal(t, w) if len(w) >= 10 else len(w) * any(t[a : a + len(w)] == w for a in range(len(t)))
+                if n:
+                    want[j] = n
+            assert got[i] == want
+
+
+def test_repeated_words_cost_no_more():
+    import resource
+    import time
+
+    texts = ["w " * 20_000, "x y " * 10_000, "a b c d e f g " * 3_000, ""]
+    items = ["w " * 200, "x y " * 100, "a b c d e f g " * 20, "w w x x y y a a b b c c"]
+    h, first = decontaminate._word_lists(pa.array(texts))
+    g, f = decontaminate._word_lists(pa.array(items))
+    index = decontaminate.Items([0, 1, 2, 3], [g[a:b] for a, b in zip(f[:-1], f[1:], strict=True)])
+    decontaminate.contained(index, h[:1000], np.array([0, 1000]))
+    before, t = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    assert decontaminate.contained(index, h, first) == {(0, 0): 200, (1, 1): 200, (2, 2): 140}
+    assert time.process_time() - t < 5 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
