@@ -42,6 +42,8 @@ class Storage:
         return self._fs.getContentSummary(self.at(name)).getLength()
 
     def read(self, name: str) -> bytes:
+        if not self.size(name):
+            return b""  # Spark has no row for an empty file
         row = self.spark.read.format("binaryFile").load(f"{self.root}/{name}").select("content").first()
         return bytes(row[0])
 
