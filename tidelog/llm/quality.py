@@ -8,6 +8,7 @@ into one Spark column expression over the statistics.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -83,6 +84,14 @@ class Rules:
     bias: float
     rules: list[tuple[tuple[tuple[int, bool, float], ...], float]] = field(default_factory=list)
 
+    def to_json(self) -> str:
+        return json.dumps([self.bias, self.rules])
+
+    @classmethod
+    def from_json(cls, text: str) -> Rules:
+        bias, rules = json.loads(text)
+        return cls(bias, [(tuple((j, above, limit) for j, above, limit in path), w) for path, w in rules])
+
     def score(self, stats: np.ndarray) -> np.ndarray:
         z = np.full(len(stats), self.bias)
         for conditions, w in self.rules:
@@ -129,12 +138,12 @@ def _grow(bins, cuts, gradient, weight, rows, depth, features, path, found, out)
         return
     low = bins[rows, j] <= i
     for above, part in ((False, rows[low]), (True, rows[~low])):
-        own = (*path, (j, above, float(cuts[j][i])))
+        own = (*path, (int(j), above, float(cuts[j][i])))
         found.append(own)
         _grow(bins, cuts, gradient, weight, part, depth - 1, features, own, found, out)
 
 
-def fit_rules(stats: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 4e-4, seed: int = 7) -> Rules:
+def fit_rules(stats: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 2e-3, seed: int = 7) -> Rules:
     """Fit on a sample.  Without both classes the score is the smoothed share of ones."""
     n, ones = len(labels), int(labels.sum())
     prior = float(np.log((ones + 1) / (n - ones + 1)))
@@ -164,7 +173,8 @@ def fit_rules(stats: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int
     x = np.empty((n, len(kept)), dtype=np.float32)
     for j, (_, held) in enumerate(kept):
         x[:, j] = held
-    mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64)
+    mean = np.array([held.mean() for _, held in kept])
+    scale = np.sqrt(mean * (1 - mean))  # a rule holds or does not
     x -= mean.astype(np.float32)
     x /= scale.astype(np.float32)
     w, b = _lasso(x, y.astype(np.float32), penalty, prior)
@@ -205,17 +215,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> R
 
     Labels other than 0 and 1 and null ids are ignored; of repeated labels the
     rounded mean counts, of repeated documents the one with the least
-    statistics.  The sample is bounded, so it may be broadcast and gathered.
+    statistics.  The sample is bounded, so it may be broadcast and gathered in
+    one task, which fits; only the rules come to the driver.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").where("doc_id is not null and quality in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     ids = F.broadcast(chosen)
     stats = with_statistics(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
-    rows = stats.groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("s")).join(ids, "doc_id").orderBy("doc_id").select("label", "s.*").toArrow()
-    if not rows.num_rows:
-        return Rules(0.0)
-    return fit_rules(np.stack([rows.column(s).to_numpy() for s in STATS], axis=1), rows.column("label").to_numpy())
+    rows = stats.groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("s")).join(ids, "doc_id").select("doc_id", "label", "s.*")
+    said = rows.coalesce(1).mapInArrow(_fit_batches, "rules string").first()
+    return Rules.from_json(said[0]) if said else Rules(0.0)
+
+
+def _fit_batches(batches):
+    """Fit on all rows of the one partition, in order of their ids; one row of JSON."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        rows = pa.Table.from_batches(held).sort_by("doc_id")
+        model = fit_rules(np.stack([rows.column(s).to_numpy() for s in STATS], axis=1), rows.column("label").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([model.to_json()])], names=["rules"])
 
 
 def classify(docs: DataFrame, model: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
