@@ -220,15 +220,16 @@ def contained(items: Items, h: np.ndarray, first: np.ndarray) -> dict[tuple[int,
     return best
 
 
-def _scan(sent):
+def _scan(sent: list):
     def run(batches):
-        items = sent.value
+        blocks_of_items = [x.value for x in sent]
         for batch in batches:
             h, first = _word_lists(batch.column("text"))
             found: dict[int, list[tuple[int, int]]] = {}
             for a, b in blocks(np.diff(first), TEXT_WORDS):
-                for (d, i), n in contained(items, h[first[a] : first[b]], first[a : b + 1] - first[a]).items():
-                    found.setdefault(a + d, []).append((items.ids[i], n))
+                for items in blocks_of_items:
+                    for (d, i), n in contained(items, h[first[a] : first[b]], first[a : b + 1] - first[a]).items():
+                        found.setdefault(a + d, []).append((items.ids[i], n))
             rows = [[{"item_id": i, "words": n} for i, n in sorted(found.get(d, ()))] for d in range(batch.num_rows)]
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "hits"])
@@ -245,21 +246,19 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     words, match nothing (with ``shortest=1`` every item that has a word
     counts; items of fewer than EDITED_ITEM words must be wholly equal).
     Items with a null id are ignored; repeated rows stay, repeated items are
-    listed as often.  The items are taken in blocks of bounded size, each
-    broadcast against all rows.
+    listed as often.  The items are broadcast in blocks of bounded size, and
+    each text is searched for all of them in turn.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     items = texts(benchmark, item_col, item_text_col).where("doc_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (8 * BLOCK_WORDS)))
-    out = texts(docs, id_col, text_col, carry)
-    kind = "array<struct<item_id:bigint,words:int>>"
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == b).orderBy("doc_id", "text").toArrow()
+    parts = max(1, -(-size // (8 * BLOCK_WORDS)))
+    sent = []
+    for b in range(parts):
+        part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == b).orderBy("doc_id", "text").toArrow()
         h, first = _word_lists(part.column("text"))
-        sent = spark.sparkContext.broadcast(Items(part.column("doc_id").to_pylist(), [h[a:z] for a, z in zip(first[:-1], first[1:], strict=True)], shortest))
-        out = out.withColumnRenamed("hits", f"hits{b}") if b else out
-        out = out.mapInArrow(_scan(sent), f"{ddl(out, *out.columns)}, hits {kind}")
-    every = F.concat(*[F.col(f"hits{b}") for b in range(1, blocks)], F.col("hits"))
-    return out.select("doc_id", "text", *["row"] * carry, F.sort_array(every).alias("hits"))
+        sent.append(spark.sparkContext.broadcast(Items(part.column("doc_id").to_pylist(), [h[a:z] for a, z in zip(first[:-1], first[1:], strict=True)], shortest)))
+    out = texts(docs, id_col, text_col, carry)
+    found = out.mapInArrow(_scan(sent), f"{ddl(out, *out.columns)}, hits array<struct<item_id:bigint,words:int>>")
+    return found.select("doc_id", "text", *["row"] * carry, "hits")
