@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.operators import resolve as R
-from tidelog.operators.ranges import Range, multi_range
+from tidelog.operators.ranges import Range, multi_range, multi_range_ordered
 from tidelog.plans import table as table_module
 from tidelog.plans.table import CommitConflictError, CorruptSnapshotError, Durability, KvTable, Options
 from tidelog.plans.tiers import TableMeta, Version
@@ -131,6 +131,17 @@ def test_multi_range(spark):
     assert got == sorted((i, k) for i, lo, hi in wanted for k in range(200) if lo <= k < hi)
 
 
+@pytest.mark.parametrize("buckets", [1, 4, 64])
+def test_multi_range_of_bytes(spark, buckets):
+    rng = random.Random(2)
+    some = lambda: bytes(rng.choice(b"\x00a\x7f\x80\xff") for _ in range(rng.randint(0, 3)))
+    keys, wanted = sorted({some() for _ in range(80)}), [(i, some(), some()) for i in range(40)]
+    rows = spark.createDataFrame([(k, 1) for k in keys], "key binary, lo_ int")
+    found = multi_range_ordered(rows, spark.createDataFrame(wanted, "i int, lo binary, hi binary"), buckets=buckets)
+    assert sorted((r.i, bytes(r.key)) for r in found.collect()) == sorted((i, k) for i, lo, hi in wanted for k in keys if lo <= k < hi)
+    assert multi_range_ordered(rows.where("false"), spark.createDataFrame(wanted, "i int, lo binary, hi binary")).collect() == []
+
+
 # --- the table ----------------------------------------------------------------------------
 
 

@@ -54,6 +54,32 @@ def multi_range(rows: DataFrame, ranges: DataFrame, width: int, key: str = "key"
     return rows.join(spread, "_b").where((F.col(key) >= F.col("lo")) & (F.col(key) < F.col("hi"))).drop("_b")
 
 
+def _bucket(key: Column, splits: list) -> Column:
+    """The number of splits that are not above the key, as a balanced tree of comparisons."""
+
+    def tree(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        m = (a + b) // 2
+        return F.when(key < F.lit(splits[m]), tree(a, m)).otherwise(tree(m + 1, b))
+
+    return tree(0, len(splits))
+
+
+def multi_range_ordered(rows: DataFrame, ranges: DataFrame, key: str = "key", buckets: int = 128, sample: int = 10_000) -> DataFrame:
+    """Rows joined with every half-open range [lo, hi) of a key of any ordered type, such as bytes.
+
+    A bounded sample of the rows' keys gives the borders of the buckets; it
+    sways the balance only, not the result.  Each range is spread over the
+    buckets that it touches, so the join is an equi-join and a filter.
+    """
+    some = sorted({r[0] if not isinstance(r[0], bytearray) else bytes(r[0]) for r in rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).collect()})
+    splits = sorted({some[len(some) * i // buckets] for i in range(1, buckets)}) if some else []
+    spread = ranges.where("lo < hi").withColumn("_b", F.explode(F.sequence(_bucket(F.col("lo"), splits), _bucket(F.col("hi"), splits))))
+    found = rows.withColumn("_b", _bucket(F.col(key), splits)).join(spread, "_b")
+    return found.where((F.col(key) >= F.col("lo")) & (F.col(key) < F.col("hi"))).drop("_b")
+
+
 def last_at_most(probes: DataFrame, firsts: DataFrame, probe: str, first: str, out: str) -> DataFrame:
     """For every probe the greatest ``first`` that is not above it, or null.
 

@@ -742,3 +742,174 @@ def gen_values(spark, sf_dir):
     value = encoding.bench_value(F.col("i"))
     pattern = F.conv(F.substr(F.hex(value), F.lit(17), F.lit(2)), 16, 10).cast("bigint")
     return c.select("i", F.hex(encoding.bench_key(F.col("i"))).alias("key_hex"), F.octet_length(value).cast("bigint").alias("bytes"), pattern.alias("pattern"))
+
+
+@query(
+    _BYTES + NEW + ", r AS (SELECT DISTINCT substr(key, 1, 2) AS lo, substr(key, 1, 2) || '80' AS hi FROM log)"
+    " SELECT lo AS range_hex, count(*) AS pairs, min(key) AS first_hex, max(key) AS last_hex FROM r JOIN newest ON tag = 1 AND key >= lo AND key < hi GROUP BY lo"
+)
+def byte_multi_range(spark, sf_dir):
+    """Many ranges of byte keys in one join: from a first byte to that byte and 0x80."""
+    log = _byte_log(spark, sf_dir)
+    lo = F.expr("substring(key, 1, 1)")
+    windows = log.select(lo.alias("lo"), F.concat(lo, F.unhex(F.lit("80"))).alias("hi")).distinct()
+    found = ranges.multi_range_ordered(R.live(log), windows).withColumn("h", F.hex("key"))
+    return found.groupBy(F.hex("lo").alias("range_hex")).agg(F.count("*").alias("pairs"), F.min("h").alias("first_hex"), F.max("h").alias("last_hex"))
+
+
+# --- the table's own reads and writes ---------------------------------------------------------
+
+
+def _table(spark, sf_dir, what: str, durability: Durability = Durability.ALWAYS, **kw) -> KvTable:
+    return KvTable(spark, _scratch(spark, what), "bigint", "double", Options(durability=durability, bloom=False, fanout=FANOUT, **kw))
+
+
+@query(EV + NEW + " SELECT key, value FROM newest WHERE tag = 1 AND key > 10 AND key <= 90")
+def memtable_range_snapshot(spark, sf_dir):
+    """A range of batches that no table file holds and no snapshot has yet."""
+    table = _table(spark, sf_dir, "memtable", Durability.BUFFERED)
+    for i in range(2):
+        table.append(ev(spark, sf_dir).where(F.col("seq") % 2 == i))
+    return table.scan(10, 90, False, True, ordered=False)
+
+
+@query(EV + NEW + " SELECT key, seq, tag, value FROM newest")
+def memtable_full_snapshot(spark, sf_dir):
+    """All pending batches, deletes included."""
+    table = _table(spark, sf_dir, "memtable")
+    for i in range(2):
+        table.append(ev(spark, sf_dir).where(F.col("seq") % 2 == i))
+    return table.resolved().select("key", "seq", F.col("tag").cast("int").alias("tag"), "value")
+
+
+@query(EV + NEW + " SELECT key, seq, tag, value FROM newest")
+def sstable_read(spark, sf_dir):
+    """Every row of a table file as it was written: one version of a key, deletes included."""
+    table = _table(spark, sf_dir, "sstable")
+    table.append(ev(spark, sf_dir))
+    table.flush()
+    rows = spark.read.parquet(f"{table.root}/{table.version.tiers[0][0].path}")
+    return rows.select("key", "seq", F.col("tag").cast("int").alias("tag"), "value")
+
+
+@query(ORD + NEW + " SELECT c_custkey, value FROM customer LEFT JOIN (SELECT * FROM newest WHERE tag = 1) ON key = c_custkey")
+def sstable_get(spark, sf_dir):
+    """Point reads of a flushed table for every customer."""
+    table = _table(spark, sf_dir, "sstable")
+    table.append(ord_(spark, sf_dir))
+    table.flush()
+    return table.multi_get(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+
+
+@query(
+    EV + ", n AS (SELECT count(DISTINCT key) AS keys FROM log) SELECT mode, CASE mode WHEN 'always' THEN keys ELSE 0 END AS before_commit,"
+    " CASE mode WHEN 'buffered' THEN 0 ELSE keys END AS after_commit, keys AS after_flush FROM n, (VALUES ('always'), ('group'), ('buffered')) m(mode)"
+)
+def durability_modes(spark, sf_dir):
+    """The keys that another reader sees after an append, after the end of its group, and after a flush."""
+    rows = []
+    for mode in Durability:
+        table = _table(spark, sf_dir, "modes", mode)
+        seen = lambda t=table: KvTable(spark, t.root, "bigint", "double").resolved().count()
+        table.append(ev(spark, sf_dir))
+        before = seen()
+        if mode is Durability.GROUP_COMMIT:
+            table.commit()
+        after = seen()
+        table.flush()
+        rows.append((mode.value, before, after, seen()))
+    return spark.createDataFrame(rows, "mode string, before_commit bigint, after_commit bigint, after_flush bigint")
+
+
+@query(EV + ", n AS (SELECT max(seq) AS top FROM log) SELECT top + 1 AS next_seq, 4::BIGINT AS next_table_id, 3::BIGINT AS tables, 1::BIGINT AS pending FROM n")
+def manifest_reload(spark, sf_dir):
+    """What a new handle loads from the newest snapshot after three flushes and an append."""
+    table = _table(spark, sf_dir, "manifest")
+    for i in range(4):
+        table.append(ev(spark, sf_dir).where(F.col("seq") % 4 == i))
+        if i < 3:
+            table.flush()
+    version = KvTable.open(spark, table.root, key_type="bigint", value_type="double").version
+    return spark.createDataFrame([(version.next_seq, version.next_table_id, len(version.newest_first()), len(version.pending))], "next_seq bigint, next_table_id bigint, tables bigint, pending bigint")
+
+
+@query(EV + ", k AS (SELECT DISTINCT key, seq % 2 AS part FROM log) SELECT 0 AS tier, part::INT AS pos, part + 1 AS id, count(*) AS num_entries, min(key) AS first_key, max(key) AS last_key FROM k GROUP BY part")
+def introspection(spark, sf_dir):
+    """describe() of a table of two flushes."""
+    table = _table(spark, sf_dir, "describe")
+    for i in range(2):
+        table.append(ev(spark, sf_dir).where(F.col("seq") % 2 == i))
+        table.flush()
+    return table.describe()
+
+
+@query(EV + " SELECT count(DISTINCT key) AS deleted, 0::BIGINT AS tables, 0::BIGINT AS left_over FROM log")
+def empty_merge(spark, sf_dir):
+    """Four tables of deletes only, merged with nothing below: no table is left."""
+    table = _table(spark, sf_dir, "empty")
+    log = ev(spark, sf_dir).withColumn("tag", F.lit(0)).withColumn("value", F.lit(None).cast("double"))
+    for i in range(FANOUT):
+        table.append(log.where(F.col("seq") % FANOUT == i))
+        table.flush()
+    return log.agg(F.countDistinct("key").alias("deleted")).select("deleted", F.lit(len(table.version.newest_first())).cast("bigint").alias("tables"), F.lit(table.log().count()).alias("left_over"))
+
+
+@query(EV + NEW + " SELECT count(*) AS scanned, 0::BIGINT AS differ FROM newest WHERE tag = 1")
+def scan_get_agreement(spark, sf_dir):
+    """Every pair of a scan is what a point read of its key gives."""
+    table = _table(spark, sf_dir, "agree")
+    for i in range(3):
+        table.append(ev(spark, sf_dir).where(F.col("seq") % 3 == i))
+        if i < 2:
+            table.flush()
+    both = table.multi_get(table.scan(ordered=False), into="got")
+    return both.agg(F.count("*").alias("scanned"), F.count_if(~F.col("got").eqNullSafe(F.col("value"))).alias("differ"))
+
+
+@query(EV + " SELECT key, seq, tag, value FROM log WHERE seq <= 500 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
+def pinned_reader(spark, sf_dir):
+    """A handle keeps its version while another writes, flushes and merges."""
+    table = _table(spark, sf_dir, "pin")
+    log = ev(spark, sf_dir)
+    table.append(log.where("seq <= 500"))
+    pinned = KvTable(spark, table.root, "bigint", "double")
+    table.append(log.where("seq > 500"))
+    table.flush()
+    return pinned.resolved().select("key", "seq", F.col("tag").cast("int").alias("tag"), "value")
+
+
+@query(EV + NEW + " SELECT key, seq, tag, value FROM newest")
+def stream_stateful(spark, sf_dir):
+    """The custom stateful operator: the last change that it emits for each key."""
+
+    def run(stream, base):
+        changes = ingest.newest_stateful(ingest.as_log(stream))
+        changes.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+        return R.resolve(spark.read.parquet(f"{base}/out"))
+
+    return _streamed(spark, sf_dir, run)
+
+
+@query("SELECT c_custkey AS i, 'key' || lpad(c_custkey::VARCHAR, 12, '0') AS key, 'val-' || lpad(c_custkey::VARCHAR, 12, '0') || '-payload-padding-to-force-flushes-0123456789' AS value FROM customer")
+def crash_pairs(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"))
+    key, value = encoding.crash_pair(F.col("i"))
+    return c.select("i", F.decode(key, "utf-8").alias("key"), F.decode(value, "utf-8").alias("value"))
+
+
+@query(
+    "WITH h AS (SELECT o_orderkey, lpad(hex(o_orderkey), 16, '0') AS h FROM orders)"
+    " SELECT o_orderkey, list_reduce(list_transform(range(8), lambda i: substr(h, 15 - 2 * i, 2)), lambda a, b: a || b) AS le_hex, o_orderkey AS back FROM h"
+)
+def little_endian_integers(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select("o_orderkey")
+    le = encoding.little_endian(F.col("o_orderkey"), 8)
+    return o.select("o_orderkey", F.hex(le).alias("le_hex"), encoding.number(le).alias("back"))
+
+
+@query("SELECT o_orderkey, true AS moved_some FROM orders")
+def fill_order(spark, sf_dir):
+    """The seeded order of a fill: every key once, and not in key order."""
+    numbered = R.assign_seq(_read(spark, sf_dir, "orders").select("o_orderkey", F.xxhash64("o_orderkey", F.lit(1729)).alias("h")), ["h", "o_orderkey"], 0)
+    moved = numbered.agg((F.sum(F.abs(F.col("seq") - F.col("o_orderkey"))) > 0).alias("moved_some"))
+    return numbered.select("o_orderkey").join(F.broadcast(moved))
