@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -35,6 +36,17 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(spark.createDataFrame([], df.schema)).collect() == []
 
 
+def test_long_conversation(spark):
+    """Many turns: exact spans, and a cost that does not grow with their square."""
+    n = 30_000
+    rows = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 3 = 1, 'assistant', 'user') role", "concat('t', id, if(id % 5 = 0, '### ', '')) text")
+    got = chat.format_conversations(rows.unionByName(spark.createDataFrame([(2, 0, "assistant", "one")], "conv_id long, turn long, role string, text string")))
+    back = {r.conv_id: r for r in chat.read_conversations(got).collect()}
+    assert back[2].loss_text == "one" and len(back[1].turns) == n
+    assert back[1].loss_text == "".join(f"t{i}" + "### " * (i % 5 == 0) for i in range(n) if i % 3 == 1)
+    assert [t.text for t in back[1].turns[:6]] == ["t0### ", "t1", "t2", "t3", "t4", "t5### "]
+
+
 # --- url filter ------------------------------------------------------------------------
 
 
@@ -60,6 +72,25 @@ def test_url_filter_against_brute_force(spark):
     assert none.where("verdict = 'allow' and rule is null").count() == len(urls)
 
 
+def test_rules_that_end_within_a_segment(spark):
+    """Random rules, with and without a slash at the end, against a plain search of the longest."""
+    rng = random.Random(3)
+    part = lambda: "".join(rng.choice("ab/") for _ in range(rng.randint(0, 5)))
+    hosts = ["com", "x.com", "a.x.com", "org", "b.org", "c.b.org"]
+    rules = sorted({(rng.choice(hosts), "/" * rng.randint(0, 1) + part()): rng.choice(["allow", "block"]) for _ in range(60)}.items())
+    urls = [f"http://{rng.choice(['', 'w.', 'A.'])}{rng.choice(hosts)}{rng.choice(['/' + part() + part(), '', '?/a', '#x'])}" for _ in range(300)]
+    want = {}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1]
+        end = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = rest[:end].lower(), re.split("[?#]", rest[end:])[0]
+        fits = [(len(h) + len(p), len(h), a == "block", h + p, a) for (h, p), a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want[i] = (host, path, *(max(fits)[3:] if fits else (None, "allow")))
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, prefixes int")
+    frame = spark.createDataFrame([(h, p, a) for (h, p), a in rules], "host string, path string, action string")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(df, frame).collect()} == want
+
+
 # --- top-k -------------------------------------------------------------------------------
 
 
