@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import bloom, encoding
 from tidelog.operators import blocks, measure
 from tidelog.sources import wal
-from tidelog.sources.storage import CrashError, FaultyStorage, Storage
+from tidelog.sources.storage import CrashError, FaultyStorage, NotFoundError, Storage
 
 
 def test_frames():
@@ -174,3 +174,14 @@ def test_crash_while_the_tail_is_cut(spark, tmp_path):
         if not failed:
             break
     assert not failed and writer.recovered == len(got) and writer.segments() == [1, 2, 3]
+
+
+def test_storage(spark, tmp_path):
+    disk = Storage(spark, str(tmp_path))
+    assert disk.list("a") == [] and disk.publish("a/x", b"one") and not disk.publish("a/x", b"two") and disk.read("a/x") == b"one"
+    disk.replace("a/x", b"\x00\xff")
+    disk.replace("a/y", b"")
+    assert disk.read("a/x") == b"\x00\xff" and disk.read("a/y") == b"" and disk.size("a") == 2 and sorted(n for n, _ in disk.list("a")) == ["x", "y"]
+    disk.delete("a/x")
+    with pytest.raises(NotFoundError):
+        disk.read("a/x")

@@ -15,6 +15,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+class StorageError(OSError):
+    """Base of the errors of this module."""
+
+
+class NotFoundError(StorageError):
+    """A file that is read is not there."""
+
+
 class Storage:
     """Files below a root path."""
 
@@ -42,6 +50,8 @@ class Storage:
         return self._fs.getContentSummary(self.at(name)).getLength()
 
     def read(self, name: str) -> bytes:
+        if not self._fs.exists(self.at(name)):
+            raise NotFoundError(f"{self.root}/{name}")
         if not self.size(name):
             return b""  # Spark has no row for an empty file
         row = self.spark.read.format("binaryFile").load(f"{self.root}/{name}").select("content").first()
@@ -78,7 +88,7 @@ class Storage:
         rows.write.options(**options).parquet(f"{self.root}/{name}")
 
 
-class CrashError(OSError):
+class CrashError(StorageError):
     """The fault that FaultyStorage was armed for."""
 
 
