@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.session import cut, partitions, shared_dir
 
-__all__ = ["bounded_batches", "cut", "ddl", "partitions", "scratch", "shared_dir", "table", "texts"]
+__all__ = ["bounded_batches", "cut", "ddl", "marked", "partitions", "scratch", "shared_dir", "table", "texts"]
 
 #: Rows of one Arrow batch.  Documents can be very long, so a batch of the
 #: default 10,000 rows could outgrow a Python worker.
 BATCH_ROWS = 1024
+#: Bits of the bitmap of wanted keys.
+MARK_BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,20 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidelog-{what}-{uuid.uuid4().hex}"
 
 
+def marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows with a flag ``marked``: true for every key that is wanted, and for few others while few are.
+
+    The flags are bits of a bitmap of fixed size, 4 KiB for each of at most
+    MARK_BITS / 32,768 rows and 4 MiB together, so it may be broadcast.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    bucket, place = F.floor(bit / 32768), (bit % 32768).cast("int")
+    marks = wanted.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_bucket", bucket).join(F.broadcast(marks), "_bucket", "left")
+    return found.select(*rows.columns, F.coalesce(F.call_function("shiftright", byte, place % 8) % 2 == 1, F.lit(False)).alias("marked"))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(doc_id, text) with the text of a null row empty.
 

@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkernel as tk
-from tidelog.llm.common import bounded_batches, cut, partitions, texts
+from tidelog.llm.common import bounded_batches, cut, marked, partitions, texts
 from tidelog.llm.graph import components
 
 #: Shingles of one tile of a block at most, but for a single larger set; two tiles meet in a task.
 TILE_SHINGLES = 300_000
-#: Bits of the bitmap of wanted rows.
-MARK_BITS = 1 << 25
+#: Join keys over which a component is spread.
+SALTS = 16
 #: The place of a shingle whose frequency is not known, after all others.
 MOST = (1 << 62) - 1
 #: Nodes whose postings a task remembers, so as not to repeat them.
@@ -358,21 +358,6 @@ def _search(rule: Rule):
     return run
 
 
-def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose key's bit is set in a bitmap of the wanted keys, and so all that match.
-
-    The bitmap has a fixed size (4 KiB for each of at most MARK_BITS / 32,768
-    rows, 4 MiB together), so it may be broadcast; it spares most texts the
-    shuffle while few are wanted.
-    """
-    bit = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
-    bucket, place = F.floor(bit / 32768), (bit % 32768).cast("int")
-    marks = wanted.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
-    byte = F.conv(F.hex(F.substr("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn("_bucket", bucket).join(F.broadcast(marks), "_bucket")
-    return found.where(F.call_function("shiftright", byte, place % 8) % 2 == 1).select(*rows.columns)
-
-
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
@@ -397,7 +382,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     postings = base.where("size(post) > 0 and doc_id is not null").select(F.explode("post").alias("gram"), "node")
     counts = postings.repartitionByRange("gram", "node").sortWithinPartitions("gram", "node").mapInArrow(_shared_counts, "node bigint, c bigint").groupBy("node").agg(F.sum("c").alias("c"))
     rest = nodes.join(counts, "node").where(f"c >= {rule.sql_floor_shared('n')}").select("node", "n", "copies", "rep")
-    sets = _marked(docs.withColumnRenamed("doc_id", "rep"), rest, "rep").join(rest, "rep").select("node", "n", "copies", "text")
+    # While few texts are wanted, a bitmap spares the others the shuffle.
+    sets = marked(docs.withColumnRenamed("doc_id", "rep"), rest, "rep").where("marked").join(rest, "rep").select("node", "n", "copies", "text")
     # Rows that repeat both id and text repeat a node here; what follows takes each node once.
     sets = cut(sets.mapInArrow(_sets(rule), "node bigint, n bigint, copies bigint, grams array<bigint>"))
 
@@ -419,7 +405,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
 
     # Tiles that a list spans, each set of tiles once; those of one size or nearly so meet.
     tile = tiled.select("node", F.struct("tile", "least", "most").alias("t"))
-    spans = lists.select("node", F.explode("grams").alias("gram")).join(tile, "node").groupBy("gram").agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    spans = lists.join(tile, "node").select(F.explode("grams").alias("gram"), "t").groupBy("gram").agg(F.sort_array(F.collect_set("t")).alias("ts"))
     pairs = spans.where("size(ts) > 1").select("ts").distinct().select(F.posexplode("ts").alias("at", "x"), "ts")
     pairs = pairs.select("x", F.explode(F.expr("slice(ts, at + 2, size(ts))")).alias("y")).distinct()
     pairs = pairs.where(f"{rule.percent} * x.least <= 100 * y.most and {rule.percent} * y.least <= 100 * x.most")
@@ -429,9 +415,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     found = tiled.select("node", "root", "links").where("links > 0").unionByName(crossed)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = nodes.join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = named.join(least, "root").join(links, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # A component can hold a large part of all nodes: its smallest id is found by partial aggregation and spread over salts to be joined back.
+    linked = nodes.join(roots, "node").select("node", "rep", "root", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    named = linked.join(least, ["root", "salt"]).select("node", "component_id")
+    n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    classes = nodes.join(named, "node", "left").join(links, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), n_links)
     own = F.col("doc_id").isNotNull()
     return base.join(classes, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
