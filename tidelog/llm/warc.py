@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_batches
+from tidelog.llm.common import bounded_batches, cut, marked
 
 STEP = 1 << 16
 #: Records, and compressed bytes but for the last record, of one archive; a file is read as one row.
@@ -209,18 +209,20 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, salts: int = 16) -> Dat
     Of the pages with equal payloads of at least ``least_bytes`` bytes the one
     with the largest page_id is the response; rows that repeat that page_id
     with the same payload are responses too.  Null ids are never the largest
-    unless a group has no other.  Groups are aggregated before the shuffle,
-    and each is spread over ``salts`` keys when it is joined back.
+    unless a group has no other.  Groups are aggregated before the shuffle.
+    Pages whose payload no other page has go straight on, but for few that
+    meet a bit of the bitmap of repeated ones; the rest is joined with its
+    group, each spread over ``salts`` keys.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sum", F.sha1(F.col("html").cast("binary"))).withColumn("long", F.octet_length("html") >= least_bytes)
-    last = rows.where("long").groupBy("sum").agg(F.max("page_id").alias("last"), F.count("*").alias("times")).where("times > 1").select("sum", "last")
+    last = cut(rows.where("long").groupBy("sum").agg(F.max("page_id").alias("last"), F.count("*").alias("times")).where("times > 1").select("sum", "last"))
+    rows = marked(rows, last, "sum")
+    alone = rows.where("not (long and marked)").select("page_id", "url", "html", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
     last = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    again = F.col("long") & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(last, ["sum", "salt"], "left").select(
-        "page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to")
-    )
+    rest = rows.where("long and marked").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(last, ["sum", "salt"], "left")
+    again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+    return alone.unionByName(rest.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to")))
 
 
 def write(
