@@ -15,6 +15,7 @@ import random
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -273,6 +274,12 @@ def fit(table: list[tuple[str, list[int]]], rounds: int = 120, l2: float = 2e-4)
     return Crf(index, emit, move)
 
 
+@cache
+def default_model() -> Crf:
+    """The model of the built-in table, fitted once a process."""
+    return fit(labelled_table())
+
+
 def _plausible(kind: int, s: str) -> bool:
     """Whether a span that the CRF found can be what it is labelled."""
     d = _digits(s)
@@ -395,7 +402,7 @@ def find(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", text
     spans; null ids and repeated rows stay; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(_find(model or fit(labelled_table())), f"doc_id bigint, text string, spans {SPANS}")
+    return texts(docs, id_col, text_col).mapInArrow(_find(model or default_model()), f"doc_id bigint, text string, spans {SPANS}")
 
 
 def _mask(model: Crf):
@@ -413,7 +420,7 @@ def mask(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", text
     """(doc_id, text, row): every span of find() replaced by its kind, as in ``<EMAIL>``."""
     bounded_batches(docs.sparkSession)
     rows = texts(docs, id_col, text_col, carry=True)
-    return rows.mapInArrow(_mask(model or fit(labelled_table())), ddl(rows, "doc_id", "text", "row"))
+    return rows.mapInArrow(_mask(model or default_model()), ddl(rows, "doc_id", "text", "row"))
 
 
 def spans_text(spans: Column) -> Column:
